@@ -55,20 +55,19 @@ def rename_entity(graph: Graph, old_id: str, new_id: str) -> Graph:
     return Graph(renamed, edges)
 
 
-def unused_id(graph: Graph, file_path: str, name: str) -> str:
-    """``file::name``, or the first of ``file::name_1``, ``file::name_2``, … that is free."""
-    base = f"{file_path}::{name}"
-    suffix = F.regexp_extract("id", r"_(\d+)$", 1)
-    taken = graph.entities.filter(
-        (F.col("id") == base)
-        | (F.col("id").startswith(base + "_") & (F.length(suffix) > 0) & (F.length("id") == len(base) + 1 + F.length(suffix)))
-    ).select(F.when(F.col("id") == base, 0).otherwise(suffix.cast("long")).alias("n")).distinct()
-    # The first gap: a taken number whose successor is free.
-    following = taken.select((F.col("n") + 1).alias("n")).join(taken, "n", "left_anti")
-    base_taken = taken.filter("n = 0").isEmpty()
-    if base_taken:
-        return base
-    return f"{base}_{following.agg(F.min('n')).first()[0]}"
+def unused_id(entities: DataFrame, base: str = "new-entity") -> str:
+    """``base``, or the first of ``base-1``, ``base-2``, … that no entity has."""
+    number = F.regexp_extract("id", r"-(\d{1,9})$", 1)
+    canonical = F.col("id") == F.concat(F.lit(base + "-"), number.cast("int").cast("string"))
+    taken = (
+        entities.filter((F.col("id") == base) | (F.col("id").startswith(base + "-") & canonical))
+        .select(F.when(F.col("id") == base, 0).otherwise(number.cast("int")).alias("n"))
+        .distinct()
+    )
+    free = taken.select((F.col("n") + 1).alias("n")).join(taken, "n", "left_anti")
+    base_used, first_free = taken.select(F.bool_or(F.col("n") == 0)).scalar(), free.select(F.min("n")).scalar()
+    used, number = entities.sparkSession.range(1).select(base_used, first_free).first()
+    return f"{base}-{number}" if used else base
 
 
 class History:

@@ -1,6 +1,6 @@
 """All registered queries (importing the modules registers them)."""
 
-from graphloom.registry import graph_queries  # noqa: F401
+from graphloom.registry import flagship, graph_queries, traverse_queries  # noqa: F401
 from graphloom.registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

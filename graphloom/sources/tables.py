@@ -6,157 +6,167 @@ edge family is a plain projection or key join of the tables; nothing is collecte
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.graph import Graph, complete_entities, complete_relationships
+from graphloom.graph import Graph
 from graphloom.operators.containment import containment_edges
 from graphloom.session import union_all
 
 ENTITY_BAND = 10**13
 EDGE_BAND = 10**15
 
+# The tables' column types (given, so that no scan has to infer them).
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp",
+}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        "n_nationkey",
-        "n_name",
-        F.format_string("r%d::n%d", "n_regionkey", "n_nationkey").alias("nation_id"),
-        F.concat("r_name", F.lit("/"), "n_name", F.lit(".py")).alias("file_path"),
-    )
+class TableGraph:
+    """The frames the table graph is made of; each is built once and shared by its users."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = read_table(spark, sf_dir, "customer")
-    return customer.join(_nations(spark, sf_dir), customer.c_nationkey == F.col("n_nationkey")).select(
-        "c_custkey", "c_name", "c_mktsegment", "file_path",
-        F.concat("nation_id", F.lit("::c"), F.col("c_custkey").cast("string")).alias("customer_id"),
-    )
+    def table(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def nations(self) -> DataFrame:
+        region = self.table("region")
+        return (
+            self.table("nation").join(region, F.expr("n_regionkey = r_regionkey"))
+            .selectExpr(
+                "n_nationkey", "n_name",
+                "concat('r', n_regionkey, '::n', n_nationkey) as nation_id",
+                "concat(r_name, '/', n_name, '.py') as file_path",
+            )
+        )
 
-def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = read_table(spark, sf_dir, "supplier")
-    return supplier.join(_nations(spark, sf_dir), supplier.s_nationkey == F.col("n_nationkey")).select(
-        "s_suppkey", "s_name", "file_path",
-        F.concat("nation_id", F.lit("::s"), F.col("s_suppkey").cast("string")).alias("supplier_id"),
-    )
-
+    @cached_property
+    def customers(self) -> DataFrame:
+        return self.table("customer").join(self.nations, F.expr("c_nationkey = n_nationkey")).selectExpr(
+            "c_custkey", "c_name", "c_mktsegment", "file_path", "concat(nation_id, '::c', c_custkey) as customer_id"
+        )
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders")
-    return orders.join(_customers(spark, sf_dir), orders.o_custkey == F.col("c_custkey")).select(
-        "o_orderkey", "o_orderstatus", "o_orderpriority", "customer_id", "c_custkey", "file_path",
-        F.concat("customer_id", F.lit("::o"), F.col("o_orderkey").cast("string")).alias("order_id"),
-    )
+    @cached_property
+    def suppliers(self) -> DataFrame:
+        return self.table("supplier").join(self.nations, F.expr("s_nationkey = n_nationkey")).selectExpr(
+            "s_suppkey", "s_name", "file_path", "concat(nation_id, '::s', s_suppkey) as supplier_id"
+        )
 
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self.table("orders").join(self.customers, F.expr("o_custkey = c_custkey")).selectExpr(
+            "o_orderkey", "o_orderstatus", "o_orderpriority", "customer_id", "c_custkey", "file_path",
+            "concat(customer_id, '::o', o_orderkey) as order_id",
+        )
 
-def _part_id(key: str):
-    return F.concat(F.lit("p"), F.col(key).cast("string"))
+    @cached_property
+    def lines(self) -> DataFrame:
+        lineitem = self.table("lineitem").selectExpr(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber as line_number",
+            "l_orderkey * 10 + l_linenumber as line_key",
+        )
+        return lineitem.join(self.orders.select("o_orderkey", "order_id"), F.expr("l_orderkey = o_orderkey"))
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        def rows(df, band, key, id_expr, type_expr, name, path, line="0", end="null", properties="'{}'"):
+            return df.selectExpr(
+                f"{band * ENTITY_BAND} + {key} as ord", f"{id_expr} as id", f"{name} as name",
+                f"{type_expr} as type", f"{path} as file_path", f"cast({line} as int) as line_number",
+                f"cast({end} as int) as end_line", f"{properties} as properties",
+            )
 
+        def described(column):
+            return f"to_json(named_struct('description', {column}))"
+
+        def span(key):
+            return {"line": f"{key} + 1", "end": f"{key} + 10"}
+
+        return union_all([
+            rows(self.table("region"), 1, "r_regionkey", "concat('r', r_regionkey)", "'DIRECTORY'", "r_name", "r_name"),
+            rows(self.nations, 2, "n_nationkey", "nation_id", "'FILE'", "n_name", "file_path"),
+            rows(self.customers, 3, "c_custkey", "customer_id", "'CLASS'", "c_name", "file_path",
+                 **span("c_custkey"), properties=described("c_mktsegment")),
+            rows(self.suppliers, 4, "s_suppkey", "supplier_id", "'CLASS'", "s_name", "file_path", **span("s_suppkey")),
+            rows(self.orders, 5, "o_orderkey", "order_id",
+                 "if(o_orderstatus = 'P', 'ASYNC_FUNCTION', 'FUNCTION')", "concat('order_', o_orderkey)",
+                 "file_path", **span("o_orderkey"), properties=described("o_orderpriority")),
+            rows(self.table("part"), 6, "p_partkey", "concat('p', p_partkey)", "'CONSTANT'", "p_name",
+                 "concat('parts/', p_brand, '.py')", line="p_partkey + 1", properties=described("p_type")),
+        ])
+
+    @cached_property
+    def base_relationships(self) -> DataFrame:
+        """All edge families except containment."""
+
+        def rows(df, band, key, type_name, source, target, line="1"):
+            return df.selectExpr(
+                f"{band * EDGE_BAND} + {key} as ord", f"{source} as source_id", f"{target} as target_id",
+                f"'{type_name}' as type", f"{line} as line_number",
+                "1D as weight", "false as is_resolved", "'{}' as properties",
+            )
 
-def _entity(df, band, key, id_col, type_col, name, path, line=None, end=None, description=None):
-    properties = F.lit("{}") if description is None else F.to_json(F.struct(F.col(description).alias("description")))
-    return df.select(
-        (F.lit(band * ENTITY_BAND) + F.col(key)).alias("ord"),
-        id_col.alias("id"),
-        name.alias("name"),
-        type_col.alias("type"),
-        path.alias("file_path"),
-        (F.lit(0) if line is None else line).cast("int").alias("line_number"),
-        (F.lit(None) if end is None else end).cast("int").alias("end_line"),
-        properties.alias("properties"),
-    )
+        suppliers = self.suppliers.select("s_suppkey", "supplier_id")
+        customers = self.customers.select("c_custkey", "customer_id")
+        part = self.table("part")
+        # The number of suppliers is a one-row scalar subquery, not a join.
+        supplier_count = self.table("supplier").agg(F.count(F.lit(1))).scalar()
+        sourced = part.select("p_partkey", (F.col("p_partkey") % supplier_count).alias("via"))
+        parents = self.table("customer").selectExpr("c_custkey as parent_key", "c_name as parent_name")
+        named = self.lines.filter("line_number = 1").join(
+            part.select("p_partkey", "p_name"), F.expr("l_partkey = p_partkey")
+        )
+        return union_all([
+            rows(self.lines, 1, "line_key", "CALLS", "order_id", "concat('p', l_partkey)", "line_number"),
+            rows(self.lines.join(suppliers, F.expr("l_suppkey = s_suppkey")),
+                 2, "line_key", "INSTANTIATES", "order_id", "supplier_id", "line_number"),
+            rows(self.orders, 3, "o_orderkey", "CALLS", "customer_id", "order_id"),
+            rows(suppliers.join(customers, F.expr("s_suppkey = c_custkey")),
+                 4, "s_suppkey", "CALLS", "supplier_id", "customer_id"),
+            rows(sourced.join(suppliers, F.expr("via = s_suppkey")),
+                 5, "p_partkey", "CALLS", "concat('p', p_partkey)", "supplier_id"),
+            rows(customers.filter("c_custkey > 0").join(parents, F.expr("c_custkey div 2 = parent_key")),
+                 6, "c_custkey", "INHERITS", "customer_id", "parent_name"),
+            rows(named, 7, "line_key", "CALLS", "order_id", "p_name", "line_number"),
+        ])
+
+    @cached_property
+    def relationships(self) -> DataFrame:
+        nested = containment_edges(self.entities).selectExpr(
+            f"{8 * EDGE_BAND} + ord * 8 + level as ord", "source_id", "target_id", "type", "line_number",
+            "1D as weight", "false as is_resolved", "'{}' as properties",
+        )
+        return self.base_relationships.unionByName(nested)
 
 
 def table_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = read_table(spark, sf_dir, "region")
-    part = read_table(spark, sf_dir, "part")
-    nations, customers = _nations(spark, sf_dir), _customers(spark, sf_dir)
-    suppliers, orders = _suppliers(spark, sf_dir), _orders(spark, sf_dir)
-
-    def span(key):
-        return {"line": F.col(key) + 1, "end": F.col(key) + 10}
-
-    frames = [
-        _entity(region, 1, "r_regionkey", F.concat(F.lit("r"), F.col("r_regionkey").cast("string")),
-                F.lit("DIRECTORY"), F.col("r_name"), F.col("r_name")),
-        _entity(nations, 2, "n_nationkey", F.col("nation_id"), F.lit("FILE"), F.col("n_name"), F.col("file_path")),
-        _entity(customers, 3, "c_custkey", F.col("customer_id"), F.lit("CLASS"), F.col("c_name"),
-                F.col("file_path"), **span("c_custkey"), description="c_mktsegment"),
-        _entity(suppliers, 4, "s_suppkey", F.col("supplier_id"), F.lit("CLASS"), F.col("s_name"),
-                F.col("file_path"), **span("s_suppkey")),
-        _entity(orders, 5, "o_orderkey", F.col("order_id"),
-                F.when(F.col("o_orderstatus") == "P", "ASYNC_FUNCTION").otherwise("FUNCTION"),
-                F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")),
-                F.col("file_path"), **span("o_orderkey"), description="o_orderpriority"),
-        _entity(part, 6, "p_partkey", _part_id("p_partkey"), F.lit("CONSTANT"), F.col("p_name"),
-                F.concat(F.lit("parts/"), "p_brand", F.lit(".py")), line=F.col("p_partkey") + 1,
-                description="p_type"),
-    ]
-    return complete_entities(union_all(frames))
-
-
-def _edge(df, band, key, type_name, source, target, line=None):
-    return df.select(
-        (F.lit(band * EDGE_BAND) + key).alias("ord"),
-        source.alias("source_id"),
-        target.alias("target_id"),
-        F.lit(type_name).alias("type"),
-        (F.lit(1) if line is None else line).cast("int").alias("line_number"),
-    )
-
+    return TableGraph(spark, sf_dir).entities
 
-def table_relationships(spark: SparkSession, sf_dir: str, containment: bool = True) -> DataFrame:
-    lineitem = read_table(spark, sf_dir, "lineitem")
-    part = read_table(spark, sf_dir, "part")
-    customers, suppliers, orders = (f(spark, sf_dir) for f in (_customers, _suppliers, _orders))
-    lines = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-    line_key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    line_no = F.col("l_linenumber")
 
-    to_supplier = lines.join(suppliers.select("s_suppkey", "supplier_id"), F.col("l_suppkey") == F.col("s_suppkey"))
-    serving = suppliers.select("s_suppkey", "supplier_id").join(
-        customers.select("c_custkey", "customer_id"), F.col("s_suppkey") == F.col("c_custkey")
-    )
-    # The number of suppliers is a one-row scalar subquery, not a join.
-    supplier_count = read_table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
-    sourced = part.select("p_partkey", (F.col("p_partkey") % supplier_count).alias("via")).join(
-        suppliers.select("s_suppkey", "supplier_id"), F.col("via") == F.col("s_suppkey")
-    )
-    parents = read_table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("parent_key"), F.col("c_name").alias("parent_name")
-    )
-    inherits = customers.filter("c_custkey > 0").join(
-        parents, F.floor(F.col("c_custkey") / 2) == F.col("parent_key")
-    )
-    named = lines.filter("l_linenumber = 1").join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-
-    frames = [
-        _edge(lines, 1, line_key, "CALLS", F.col("order_id"), _part_id("l_partkey"), line_no),
-        _edge(to_supplier, 2, line_key, "INSTANTIATES", F.col("order_id"), F.col("supplier_id"), line_no),
-        _edge(orders, 3, F.col("o_orderkey"), "CALLS", F.col("customer_id"), F.col("order_id")),
-        _edge(serving, 4, F.col("s_suppkey"), "CALLS", F.col("supplier_id"), F.col("customer_id")),
-        _edge(sourced, 5, F.col("p_partkey"), "CALLS", _part_id("p_partkey"), F.col("supplier_id")),
-        _edge(inherits, 6, F.col("c_custkey"), "INHERITS", F.col("customer_id"), F.col("parent_name")),
-        _edge(named, 7, line_key, "CALLS", F.col("order_id"), F.col("p_name"), line_no),
-    ]
-    if containment:
-        nested = containment_edges(table_entities(spark, sf_dir))
-        frames.append(
-            nested.select(
-                (F.lit(8 * EDGE_BAND) + F.col("ord") * 8 + F.col("level")).alias("ord"),
-                "source_id", "target_id", "type", "line_number",
-            )
-        )
-    return complete_relationships(union_all(frames))
+def table_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TableGraph(spark, sf_dir).relationships
 
 
 def table_graph(spark: SparkSession, sf_dir: str, containment: bool = True) -> Graph:
-    return Graph(table_entities(spark, sf_dir), table_relationships(spark, sf_dir, containment))
+    tables = TableGraph(spark, sf_dir)
+    return Graph(tables.entities, tables.relationships if containment else tables.base_relationships)
 
 
 def proposed_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -166,33 +176,25 @@ def proposed_graph(spark: SparkSession, sf_dir: str) -> Graph:
     3 gains a sibling ``…x`` that calls ``p0`` (every second one without a file path).
     """
     base = table_graph(spark, sf_dir, containment=False)
-    is_order = F.col("ord").between(5 * ENTITY_BAND, 6 * ENTITY_BAND - 1)
-    step = F.when(is_order, F.col("ord") % 100)
-    entities = (
-        base.entities.filter(F.coalesce(step != 0, F.lit(True)))
-        .withColumn("type", F.when(step == 1, "CLASS").otherwise(F.col("type")))
-        .withColumn("end_line", F.when(step == 2, F.col("end_line") + 5).otherwise(F.col("end_line")))
-        .withColumn("properties", F.when(step == 4, '{"description":"revised"}').otherwise(F.col("properties")))
+    step = f"if(ord between {5 * ENTITY_BAND} and {6 * ENTITY_BAND - 1}, ord % 100, -1)"
+    entities = base.entities.filter(f"{step} <> 0").selectExpr(
+        "ord", "id", "name", f"if({step} = 1, 'CLASS', type) as type", "file_path", "line_number",
+        f"if({step} = 2, end_line + 5, end_line) as end_line",
+        f"""if({step} = 4, '{{"description":"revised"}}', properties) as properties""",
     )
-    siblings = base.entities.filter(step == 3).select(
-        (F.col("ord") + ENTITY_BAND * 4).alias("ord"),
-        F.concat("id", F.lit("x")).alias("id"),
-        F.concat("name", F.lit("x")).alias("name"),
-        F.lit("FUNCTION").alias("type"),
-        F.when(F.col("ord") % 200 == 3, "").otherwise(F.col("file_path")).alias("file_path"),
-        "line_number",
-        F.lit(None).cast("int").alias("end_line"),
-        F.lit("{}").alias("properties"),
+    siblings = base.entities.filter(f"{step} = 3").selectExpr(
+        f"ord + {4 * ENTITY_BAND} as ord", "concat(id, 'x') as id", "concat(name, 'x') as name",
+        "'FUNCTION' as type", "if(ord % 200 = 3, '', file_path) as file_path", "line_number",
+        "cast(null as int) as end_line", "'{}' as properties",
     )
-    dropped = base.entities.filter(step == 0).select("id")
+    dropped = base.entities.filter(f"{step} = 0")
     kept = (
-        base.relationships.filter(~F.col("ord").between(4 * EDGE_BAND, 5 * EDGE_BAND - 1))
-        .join(dropped.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
-        .join(dropped.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+        base.relationships.filter(f"not ord between {4 * EDGE_BAND} and {5 * EDGE_BAND - 1}")
+        .join(dropped.selectExpr("id as source_id"), "source_id", "left_anti")
+        .join(dropped.selectExpr("id as target_id"), "target_id", "left_anti")
     )
-    calls = siblings.select(
-        (F.lit(9 * EDGE_BAND) + F.col("ord")).alias("ord"),
-        F.col("id").alias("source_id"), F.lit("p0").alias("target_id"),
-        F.lit("CALLS").alias("type"), "line_number",
+    calls = siblings.selectExpr(
+        f"{9 * EDGE_BAND} + ord as ord", "id as source_id", "'p0' as target_id", "'CALLS' as type", "line_number",
+        "1D as weight", "false as is_resolved", "'{}' as properties",
     )
-    return Graph(entities.unionByName(siblings), kept.unionByName(complete_relationships(calls)))
+    return Graph(entities.unionByName(siblings), kept.unionByName(calls))
