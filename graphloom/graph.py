@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from graphloom.schema import ENTITY_COLUMNS, ENTITY_SCHEMA, RELATIONSHIP_COLUMNS, RELATIONSHIP_SCHEMA
 from graphloom.session import materialize
@@ -93,16 +93,22 @@ def last_per_id(rows: DataFrame) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, *order) -> DataFrame:
-    """Give rows an increasing ``ord`` in the given order and write the result.
+def dense_numbers(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Consecutive numbers (0, 1, …) of distinct keys in their order, without a one-task ranking.
 
-    A range-partitioned sort plus ``monotonically_increasing_id`` needs no single-task ranking;
-    writing it fixes the numbers (and leaves the table clustered by the order columns).
+    A range sort numbers rows inside each partition; the offsets come from a running sum over one
+    row per partition.
     """
-    return materialize(df.orderBy(*order).withColumn("ord", F.monotonically_increasing_id()))
+    placed = materialize(
+        df.select(key).distinct().orderBy(key).withColumn("slot", F.monotonically_increasing_id())
+    ).selectExpr(key, "shiftright(slot, 33) as part", "slot & 8589934591L as row")
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return placed.join(offsets, "part").selectExpr(key, f"offset + row as {name}")
 
 
 __all__ = [
     "Graph", "complete_entities", "complete_relationships", "upsert_entities", "last_per_id",
-    "number_rows", "ENTITY_COLUMNS", "RELATIONSHIP_COLUMNS",
+    "dense_numbers", "ENTITY_COLUMNS", "RELATIONSHIP_COLUMNS",
 ]

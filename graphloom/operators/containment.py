@@ -13,7 +13,7 @@ OTHER_RANK = 9
 FILE_LIKE = ("FILE", "MODULE")
 
 
-def containment_edges(entities: DataFrame) -> DataFrame:
+def containment_edges(entities: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One CONTAINS edge from every ``::`` prefix of an id to the entity (not only its parent).
 
     ``ord`` is the entity's position, ``level`` the prefix length. Repeated definitions of one id
@@ -21,7 +21,7 @@ def containment_edges(entities: DataFrame) -> DataFrame:
     """
     return (
         entities.filter(F.col("id").contains(SEPARATOR) & ~F.col("type").isin("FILE", "MODULE"))
-        .select("ord", "id", "line_number", F.posexplode(ancestor_ids(F.col("id"))).alias("pos", "source_id"))
+        .select("ord", "id", "line_number", *keep, F.posexplode(ancestor_ids(F.col("id"))).alias("pos", "source_id"))
         .select(
             "ord",
             (F.col("pos") + 1).alias("level"),
@@ -29,6 +29,7 @@ def containment_edges(entities: DataFrame) -> DataFrame:
             F.col("id").alias("target_id"),
             F.lit("CONTAINS").alias("type"),
             "line_number",
+            *keep,
         )
     )
 
