@@ -78,7 +78,7 @@ import json
 class Supplier{sk}(Base, enum.Enum):
     @staticmethod
     @retry(times=3)
-    def ship(item: str, /, *args: int, when=None):
+    def ship(item: str, /, when=None, *args: int):
         if item:
             import time
             pause = time.sleep(1)

@@ -173,7 +173,8 @@ def proposed_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """A deterministic second version of the table graph, for diffs and edit plans.
 
     By ``o_orderkey % 100``: 0 removed, 1 retyped, 2 moved end line, 4 other description,
-    3 gains a sibling ``…x`` that calls ``p0`` (every second one without a file path).
+    3 gains a sibling ``…x`` that calls ``p0`` (every second one without a file path, and every
+    second of those contained in the order's customer).
     """
     base = table_graph(spark, sf_dir, containment=False)
     step = f"if(ord between {5 * ENTITY_BAND} and {6 * ENTITY_BAND - 1}, ord % 100, -1)"
@@ -197,4 +198,8 @@ def proposed_graph(spark: SparkSession, sf_dir: str) -> Graph:
         f"{9 * EDGE_BAND} + ord as ord", "id as source_id", "'p0' as target_id", "'CALLS' as type", "line_number",
         "1D as weight", "false as is_resolved", "'{}' as properties",
     )
-    return Graph(entities.unionByName(siblings), kept.unionByName(calls))
+    contained = siblings.filter("ord % 400 = 3").selectExpr(
+        f"8 * {EDGE_BAND} + ord as ord", "regexp_replace(id, '::[^:]*$', '') as source_id", "id as target_id",
+        "'CONTAINS' as type", "line_number", "1D as weight", "false as is_resolved", "'{}' as properties",
+    )
+    return Graph(entities.unionByName(siblings), union_all([kept, calls, contained]))
