@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.graph import Graph
-from graphloom.session import union_all
+from graphloom.session import materialize, union_all
 
 # Entity fields that count as a modification, in report order.
 COMPARED_FIELDS = ("name", "type", "file_path", "line_number", "end_line", "properties")
@@ -112,18 +112,22 @@ def change_neighbors(changes: DataFrame, existing: DataFrame, proposed: DataFram
 
 @dataclass
 class ChangeSet:
-    """The difference of two graphs as frames."""
+    """The difference of two graphs as frames.
+
+    The changes are written when first asked for: every later step (neighbours, overlay, edit
+    plan) reads these small tables instead of comparing the graphs again.
+    """
 
     existing: Graph
     proposed: Graph
 
     @cached_property
     def entities(self) -> DataFrame:
-        return diff_entities(self.existing.entities, self.proposed.entities)
+        return materialize(diff_entities(self.existing.entities, self.proposed.entities))
 
     @cached_property
     def relationships(self) -> DataFrame:
-        return diff_relationships(self.existing.relationships, self.proposed.relationships)
+        return materialize(diff_relationships(self.existing.relationships, self.proposed.relationships))
 
     @cached_property
     def neighbors(self) -> DataFrame:

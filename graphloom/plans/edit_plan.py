@@ -43,6 +43,9 @@ class EditPlan:
 
     @cached_property
     def inferred_paths(self) -> DataFrame:
+        return materialize(self._inferred())
+
+    def _inferred(self) -> DataFrame:
         """(entity_id, inferred) for added entities without a path.
 
         First the container's file, else the file of something it contains, else the file most of
@@ -205,13 +208,6 @@ class EditPlan:
 
     # -- rendering ------------------------------------------------------------------------------
 
-    def materialized(self) -> "EditPlan":
-        """Write the inputs every part reads, so that the diff runs once."""
-        return EditPlan(
-            materialize(self.changes), materialize(self.relationship_changes), materialize(self.neighbors),
-            self.known, self.files, self.sources,
-        )
-
     def markdown_lines(self) -> DataFrame:
         """The plan as text lines in order (columns ``at`` and ``line``), ready for a text sink."""
         edits = self.file_edits

@@ -130,7 +130,7 @@ votes as (
 winners as (select entity_id, arg_min(file_path, row(-n, first_at)) as inferred from votes group by entity_id),
 inferred as (select b.entity_id, coalesce(c.inferred, w.inferred) as inferred from blank b
   left join containers c using (entity_id) left join winners w using (entity_id)),
-placed as (
+targeted as (
   select c.*, case when c.file_path <> '' then c.file_path else coalesce(i.inferred, '(unknown)') end as target_file,
     case action when 'added' then 0 when 'removed' then 1 else 2 end as rank
   from changes c left join inferred i using (entity_id))
@@ -153,7 +153,7 @@ select p.target_file as file_path, count(*) filter (action = 'added') as added,
   count(*) filter (action = 'modified') as modified,
   case when not bool_or(f.path is not null) and bool_and(action = 'added') then 'create'
        when bool_and(action = 'removed') then 'delete' else 'modify' end as action
-from placed p left join (select distinct file_path as path from entities where type = 'FILE') f on f.path = p.target_file
+from targeted p left join (select distinct file_path as path from entities where type = 'FILE') f on f.path = p.target_file
 group by 1"""))
 def plan_file_actions(spark, sf):
     return plan(spark, sf).file_edits.drop("action_rank")
@@ -163,7 +163,7 @@ def plan_file_actions(spark, sf):
 select target_file as file_path, entity_id, case action
   when 'added' then 'Add ' || lower(entity_type) || ' `' || string_split(entity_id, '::')[-1] || '`'
   when 'removed' then 'Remove ' || lower(entity_type) || ' `' || string_split(entity_id, '::')[-1] || '`'
-  else 'Modify `' || string_split(entity_id, '::')[-1] || '` (' || replace(fields, ',', ', ') || ')' end as phrase from placed"""))
+  else 'Modify `' || string_split(entity_id, '::')[-1] || '` (' || replace(fields, ',', ', ') || ')' end as phrase from targeted"""))
 def plan_descriptions(spark, sf):
     return plan(spark, sf).descriptions.select("file_path", "entity_id", "phrase")
 
@@ -192,7 +192,7 @@ def plan_warnings(spark, sf):
 
 @query("plan_context_neighbors", over_versions(INFER_SQL + """
 , seen as (select p.target_file as file_path, n.neighbor_id, min(row(p.rank, p.entity_id)) as first_at
-           from placed p join neighbors n using (entity_id) group by all),
+           from targeted p join neighbors n using (entity_id) group by all),
   numbered as (select *, row_number() over (partition by file_path order by first_at, neighbor_id) as position from seen)
 select file_path, neighbor_id, cast(position as int) as position from numbered where position <= 10"""))
 def plan_context_neighbors(spark, sf):
