@@ -162,25 +162,17 @@ def has_changes(changes: ChangeSet) -> bool:
 
 
 def fingerprint(graph: Graph) -> DataFrame:
-    """One-row ``sha256:…`` digest of a graph's content.
+    """One-row ``sha256:…`` digest of a graph's content; equal graphs get equal digests."""
+    from graphloom.sources.snapshot import digest
 
-    Every row is hashed by itself; the words of the row hashes are added up, so the digest needs
-    neither a total order nor one task that sees all rows. Equal graphs get equal digests.
-    """
-    rows = graph.entities.select(F.to_json(F.struct(F.lit("e"), *SNAPSHOT_FIELDS)).alias("row")).unionByName(
+    rows = graph.entities.select(F.to_json(F.struct(F.lit("e"), *SNAPSHOT_FIELDS)).alias("text")).unionByName(
         graph.relationships.select(
             F.to_json(
                 F.struct(F.lit("r"), "source_id", "target_id", "type", "line_number", "weight", "is_resolved", "properties")
-            ).alias("row")
+            ).alias("text")
         )
     )
-    words = [
-        F.sum(F.conv(F.substring(F.col("hash"), 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")) for i in range(8)
-    ]
-    sums = [F.coalesce(w, F.lit(0)).cast("string") for w in words]
-    return rows.select(F.sha2("row", 256).alias("hash")).agg(
-        F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(",", *sums), 256)).alias("fingerprint")
-    )
+    return digest(rows).select(F.concat(F.lit("sha256:"), "digest").alias("fingerprint"))
 
 
 # ---- viewer overlay ---------------------------------------------------------------------------

@@ -206,60 +206,6 @@ class EditPlan:
             .select(F.col("edit_file").alias("file_path"), "position", F.col("id").alias("neighbor_id"), "code")
         )
 
-    # -- rendering ------------------------------------------------------------------------------
-
-    def markdown_lines(self) -> DataFrame:
-        """The plan as text lines in order (columns ``at`` and ``line``), ready for a text sink."""
-        edits = self.file_edits
-        where = edits.select("file_path", "action", "action_rank")
-
-        def lines(df, section, at2, at3, at4, text):
-            return df.select(
-                F.struct(
-                    F.lit(section).alias("a"), F.col("file_path").alias("b"), at2.alias("c"), at3.alias("d"), at4.alias("e")
-                ).alias("at"),
-                text.alias("line"),
-            )
-
-        zero, empty = F.lit(0), F.lit("")
-        heads = lines(
-            where, 1, zero, empty, zero,
-            F.concat(F.lit("### "), F.upper("action"), F.lit(": `"), "file_path", F.lit("`")),
-        )
-        phrases = lines(
-            self.descriptions, 1, F.lit(1), F.concat(F.col("rank").cast("string"), "entity_id"), zero,
-            F.concat(F.lit("**Action**: "), "phrase"),
-        )
-        change = self.placed.select(
-            F.col("target_file").alias("file_path"), action_rank().alias("rank"), "action", "entity_id", "entity_type", "field_diffs"
-        )
-        key = F.concat(F.col("rank").cast("string"), "entity_id")
-        bullets = lines(
-            change, 1, F.lit(2), key, zero,
-            F.concat(F.lit("- **"), F.upper("action"), F.lit("** `"), "entity_id", F.lit("` ("), "entity_type", F.lit(")")),
-        )
-        none = F.lit("None")
-        fields = lines(
-            change.select("*", F.posexplode("field_diffs").alias("pos", "diff")), 1, F.lit(2), key, F.col("pos") + 1,
-            F.concat(
-                F.lit("  - `"), F.col("diff.field"), F.lit("`: `"), F.coalesce("diff.old", none), F.lit("` → `"),
-                F.coalesce("diff.new", none), F.lit("`"),
-            ),
-        )
-        parts = [heads, phrases, bullets, fields]
-        if self.snippets is not None:
-            first_line = F.substring_index(F.trim("code"), "\n", 1)
-            preview = F.when(F.length(F.trim("code")) > 0, F.substring(first_line, 1, 80)).otherwise("(empty)")
-            parts.append(lines(
-                self.snippets, 1, F.lit(3), empty, F.col("position"),
-                F.concat(F.lit("- `"), "neighbor_id", F.lit("` — `"), preview, F.lit("`")),
-            ))
-        warned = self.warnings().select(F.lit("").alias("file_path"), "kind", "entity_id", "warning")
-        parts.append(lines(
-            warned, 2, F.col("kind"), F.col("entity_id"), zero, F.concat(F.lit("- "), "warning"),
-        ))
-        return union_all(parts)
-
 
 def edit_plan(changes, known: DataFrame | None = None, files: DataFrame | None = None, sources: DataFrame | None = None) -> EditPlan:
     """Plan for a ``ChangeSet`` (or anything with entities, relationships and neighbors frames)."""
