@@ -11,11 +11,14 @@ import json
 from collections.abc import Iterator
 
 FACT_SCHEMA = (
-    "path string, kind string, pre int, depth int, sub int, name string, "
-    "owners array<struct<kind:string,name:string,pre:int>>, line int, end_line int, "
-    "is_method boolean, type_hint string, annotation string, bases array<string>, "
-    "module string, original_name string, properties string"
+    "path string, kind string, pre int, depth int, sub int, name string, owner_names array<string>, "
+    "owner_kinds string, owner_pres array<int>, line int, end_line int, is_method boolean, type_hint string, "
+    "annotation string, bases array<string>, module string, original_name string, properties string"
 )
+# What a fact adds to its place in the file, in schema order.
+DETAILS = ("end_line", "is_method", "type_hint", "annotation", "bases", "module", "original_name", "properties")
+# Nodes that neither are facts nor contain any.
+BARREN = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.alias)
 
 
 def fact_arrow_schema():
@@ -23,82 +26,106 @@ def fact_arrow_schema():
     import pyarrow as pa
 
     text, number = pa.string(), pa.int32()
-    owner = pa.struct([("kind", text), ("name", text), ("pre", number)])
     return pa.schema([
         ("path", text), ("kind", text), ("pre", number), ("depth", number), ("sub", number), ("name", text),
-        ("owners", pa.list_(owner)), ("line", number), ("end_line", number), ("is_method", pa.bool_()),
-        ("type_hint", text), ("annotation", text), ("bases", pa.list_(text)), ("module", text),
-        ("original_name", text), ("properties", text),
+        ("owner_names", pa.list_(text)), ("owner_kinds", text), ("owner_pres", pa.list_(number)), ("line", number),
+        ("end_line", number), ("is_method", pa.bool_()), ("type_hint", text), ("annotation", text),
+        ("bases", pa.list_(text)), ("module", text), ("original_name", text), ("properties", text),
     ])
 
 
-def file_facts(path: str, content) -> list[dict]:
+def file_facts(path: str, content) -> list[tuple]:
     """All facts of a file in source order; none when it cannot be read or parsed."""
     if content is None:
         return []
     try:
         text = content if isinstance(content, str) else bytes(content).decode("utf-8")
-        tree = ast.parse(text)
-        return [dict(fact, path=path) for fact in _facts(tree)]
+        return list(_facts(path, ast.parse(text)))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
 
 
-def _facts(tree: ast.Module) -> Iterator[dict]:
-    """Pre-order walk with an explicit stack; (depth, pre) gives breadth-first order too."""
-    yield {"kind": "module", "pre": 0, "depth": 0, "sub": 0, "owners": [], "line": 0,
-           "properties": _json({"description": ast.get_docstring(tree) or "No module docstring"})}
-    stack = [(child, 1, []) for child in reversed(list(ast.iter_child_nodes(tree)))]
-    pre = 0
+def _facts(path: str, tree: ast.Module) -> Iterator[tuple]:
+    """Pre-order walk with an explicit stack; (depth, pre) gives breadth-first order too.
+
+    ``pre`` moves on by the number of facts a node gives, so ``pre + sub`` is unique in a file.
+    Owners are the enclosing definitions, outermost first.
+    """
+
+    def row(kind, pre, depth, sub, owners, line, name, details):
+        return (path, kind, pre, depth, sub, name, *owners, line, *[details.get(d) for d in DETAILS])
+
+    outside = ([], "", [])
+    description = ast.get_docstring(tree) or "No module docstring"
+    yield row("module", 0, 0, 0, outside, 0, None, {"properties": _json({"description": description})})
+    stack = [(child, 1, outside) for child in reversed(_children(tree))]
+    pre = 1
     while stack:
         node, depth, owners = stack.pop()
-        pre += 1
-        place = {"pre": pre, "depth": depth, "owners": owners, "line": getattr(node, "lineno", None)}
-        inner = owners
+        inner, step = owners, 1
         if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
-            fact = _definition(node)
-            inner = owners + [{"kind": fact["kind"], "name": node.name, "pre": pre}]
-            yield {**place, **fact, "sub": 0, "end_line": node.end_lineno}
-        else:
-            for sub, fact in enumerate(_leaf_facts(node)):
-                yield {**place, **fact, "sub": sub}
-        stack.extend((child, depth + 1, inner) for child in reversed(list(ast.iter_child_nodes(node))))
-
-
-def _definition(node) -> dict:
+            kind, details = _definition(node)
+            yield row(kind, pre, depth, 0, owners, node.lineno, node.name, details)
+            names, kinds, pres = owners
+            inner = (names + [node.name], kinds + ("c" if kind == "class" else "f"), pres + [pre])
+        elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.Import, ast.ImportFrom, ast.Call)):
+            facts = list(_leaf_facts(node))
+            step = max(1, len(facts))
+            for sub, (kind, name, details) in enumerate(facts):
+                yield row(kind, pre, depth, sub, owners, node.lineno, name, details)
+        pre += step
+        stack.extend([(child, depth + 1, inner) for child in reversed(_children(node))])
+
+
+def _children(node) -> list:
+    """Child nodes in field order, without the barren ones."""
+    found = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if isinstance(value, list):
+            found.extend([v for v in value if isinstance(v, ast.AST) and not isinstance(v, BARREN)])
+        elif isinstance(value, ast.AST) and not isinstance(value, BARREN):
+            found.append(value)
+    return found
+
+
+def _definition(node) -> tuple[str, dict]:
     properties = {
         "description": ast.get_docstring(node) or "No docstring",
         "decorators": [_decorator(d) for d in node.decorator_list] or None,
     }
+    details = {"end_line": node.end_lineno}
     if isinstance(node, ast.ClassDef):
-        plain = [_text(b) for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
-        bases = [_text(b) for b in map(_without_subscript, node.bases) if isinstance(b, (ast.Name, ast.Attribute))]
-        return {"kind": "class", "name": node.name, "bases": bases, "properties": _json({**properties, "bases": plain or None})}
-    properties["args"] = _arguments(node.args) or None
-    properties["return_type"] = _text(node.returns) if node.returns else None
-    kind = "async" if isinstance(node, ast.AsyncFunctionDef) else "function"
-    return {"kind": kind, "name": node.name, "properties": _json(properties)}
-
-
-def _leaf_facts(node) -> Iterator[dict]:
+        kind = "class"
+        properties["bases"] = [_text(b) for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))] or None
+        bare = map(_without_subscript, node.bases)
+        details["bases"] = [_text(b) for b in bare if isinstance(b, (ast.Name, ast.Attribute))]
+    else:
+        kind = "async" if isinstance(node, ast.AsyncFunctionDef) else "function"
+        properties["args"] = _arguments(node.args) or None
+        properties["return_type"] = _text(node.returns) if node.returns else None
+    return kind, details | {"properties": _json(properties)}
+
+
+def _leaf_facts(node) -> Iterator[tuple[str, str, dict]]:
+    """(kind, name, details) of statements and calls."""
     match node:
+        case ast.Call(func=func):
+            yield "call", _text(func), {"is_method": isinstance(func, ast.Attribute)}
         case ast.Assign(targets=targets, value=value):
             hint = _instantiated(value) if len(targets) == 1 else None
             for target in targets:
                 if isinstance(target, ast.Name):
-                    yield {"kind": "variable", "name": target.id, "type_hint": hint}
+                    yield "variable", target.id, {"type_hint": hint}
         case ast.AnnAssign(target=ast.Name(id=name), annotation=annotation):
             hint = annotation.id if isinstance(annotation, ast.Name) else None
-            yield {"kind": "variable", "name": name, "type_hint": hint, "annotation": _text(annotation)}
+            yield "variable", name, {"type_hint": hint, "annotation": _text(annotation)}
         case ast.Import(names=names):
             for alias in names:
-                yield {"kind": "import", "name": alias.asname or alias.name, "original_name": alias.name}
+                yield "import", alias.asname or alias.name, {"original_name": alias.name}
         case ast.ImportFrom(names=names, module=module):
             for alias in names:
-                yield {"kind": "import", "name": alias.asname or alias.name,
-                       "module": module or "", "original_name": alias.name}
-        case ast.Call(func=func):
-            yield {"kind": "call", "name": _text(func), "is_method": isinstance(func, ast.Attribute)}
+                yield "import", alias.asname or alias.name, {"module": module or "", "original_name": alias.name}
 
 
 def _instantiated(value) -> str | None:
@@ -146,8 +173,11 @@ def _text(node) -> str:
     return ast.unparse(node)
 
 
+ENCODER = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
 def _json(value) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return ENCODER.encode(value)
 
 
 def canonical_json(text: str | None) -> str:

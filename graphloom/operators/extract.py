@@ -19,14 +19,19 @@ FILE_SPAN = 2**27
 
 def _parse(batches):
     schema = fact_arrow_schema()
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
     for batch in batches:
-        rows: list[dict] = []
+        rows: list[tuple] = []
         for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
             rows.extend(file_facts(path, content))
             if len(rows) >= ROWS_PER_FRAME:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield frame(rows)
                 rows = []
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        yield frame(rows)
 
 
 def syntax_facts(sources: DataFrame) -> DataFrame:
@@ -38,44 +43,38 @@ def syntax_facts(sources: DataFrame) -> DataFrame:
     return sources.select("path", "content").repartition(tasks).mapInArrow(_parse, FACT_SCHEMA)
 
 
-def _scope_text(column: str) -> str:
-    return f"array_join(transform({column}, o -> o.name), '::')"
-
-
-SCOPED_ID = f"concat_ws('::', path, if(size(owners) > 0, {_scope_text('owners')}, null), name)"
+SCOPED_ID = "concat_ws('::', path, if(size(owner_names) > 0, array_join(owner_names, '::'), null), name)"
 
 
 def parsed_entities(facts: DataFrame, file_rows: bool = True) -> DataFrame:
     """One row per definition with its place in the file, repeated ids included.
 
-    ``place`` is unique in a file: the names of an assignment or import are syntax nodes of their
-    own, so numbering them from their statement never meets the next statement. With
-    ``file_rows`` a file also gives a FILE row with the id of its MODULE row.
+    With ``file_rows`` a file also gives a FILE row with the id of its MODULE row.
     """
     variable_type = F.when(is_constant_name(F.col("name")), "CONSTANT").otherwise("VARIABLE")
-    defined = facts.filter("kind <> 'call'").withColumn("variable_type", variable_type)
-    entities = defined.selectExpr(
-        "path as file_path",
-        "pre + sub as place",
-        f"case kind when 'module' then path when 'import' then concat(path, '::import:', name) else {SCOPED_ID} end as id",
-        "if(kind = 'module', path, name) as name",
-        "case kind when 'module' then 'MODULE' when 'class' then 'CLASS' when 'function' then 'FUNCTION' "
-        "when 'async' then 'ASYNC_FUNCTION' when 'import' then 'IMPORT' else variable_type end as type",
-        "line as line_number",
-        "end_line",
-        "case kind when 'variable' then to_json(named_struct("
-        "'description', concat(variable_type, ': ', name), 'type_annotation', annotation)) "
-        "when 'import' then to_json(named_struct("
-        "'description', if(module is null, concat('Import: ', original_name), concat('From ', module, ' import ', original_name)), "
-        "'module', module, 'original_name', original_name)) else properties end as properties",
-    )
-    if not file_rows:
-        return entities
-    files = facts.filter("kind = 'module'").selectExpr(
-        "path as file_path", "-1 as place", "path as id", "path as name", "'FILE' as type", "line as line_number",
-        "end_line", "to_json(named_struct('description', concat('File: ', path))) as properties",
+    roles = "array('FILE', 'MODULE')" if file_rows else "array('MODULE')"
+    return (
+        facts.filter("kind <> 'call'")
+        .withColumn("variable_type", variable_type)
+        # One pass: only a module fact can stand for two rows.
+        .selectExpr("*", f"explode(if(kind = 'module', {roles}, array(''))) as role")
+        .selectExpr(
+            "path as file_path",
+            "if(role = 'FILE', -1, pre + sub) as place",
+            f"case kind when 'module' then path when 'import' then concat(path, '::import:', name) else {SCOPED_ID} end as id",
+            "if(kind = 'module', path, name) as name",
+            "case kind when 'module' then role when 'class' then 'CLASS' when 'function' then 'FUNCTION' "
+            "when 'async' then 'ASYNC_FUNCTION' when 'import' then 'IMPORT' else variable_type end as type",
+            "line as line_number",
+            "end_line",
+            "case when role = 'FILE' then to_json(named_struct('description', concat('File: ', path))) "
+            "when kind = 'variable' then to_json(named_struct("
+            "'description', concat(variable_type, ': ', name), 'type_annotation', annotation)) "
+            "when kind = 'import' then to_json(named_struct("
+            "'description', if(module is null, concat('Import: ', original_name), concat('From ', module, ' import ', original_name)), "
+            "'module', module, 'original_name', original_name)) else properties end as properties",
+        )
     )
-    return entities.unionByName(files)
 
 
 def parsed_relationships(facts: DataFrame) -> DataFrame:
@@ -99,16 +98,17 @@ def parsed_relationships(facts: DataFrame) -> DataFrame:
     )
     class_like = looks_like_class(F.col("name"))
     owned = (
-        facts.filter("kind in ('call', 'variable') and size(owners) > 0")
+        facts.filter("kind in ('call', 'variable') and size(owner_names) > 0")
         .withColumn("class_like", class_like)
-        .selectExpr("*", "posexplode(owners) as (level, owner)")
+        .selectExpr("*", "posexplode(owner_pres) as (level, owner_pre)")
+        .withColumn("in_class", F.expr("substring(owner_kinds, level + 1, 1) = 'c'"))
         # Class bodies own only calls that look like an instantiation.
-        .filter("owner.kind <> 'class' or (kind = 'call' and class_like)")
+        .filter("not in_class or (kind = 'call' and class_like)")
         .selectExpr(
-            "path", "kind", "pre", "depth", "sub", "name", "line", "owner.pre as owner_pre",
-            f"concat_ws('::', path, {_scope_text('slice(owners, 1, level + 1)')}) as source_id",
+            "path", "kind", "pre", "depth", "sub", "name", "line", "owner_pre",
+            "concat_ws('::', path, array_join(slice(owner_names, 1, level + 1), '::')) as source_id",
             "case when kind = 'variable' then 'DEFINES_IN' "
-            "when owner.kind = 'class' or (class_like and not is_method) then 'INSTANTIATES' else 'CALLS' end as type",
+            "when in_class or (class_like and not is_method) then 'INSTANTIATES' else 'CALLS' end as type",
         )
         .selectExpr(
             "path as file_path",
