@@ -132,46 +132,61 @@ class WordStore:
     Only a store of computed values: a word that is not (or no longer) in it is encoded again.
     """
 
-    def __init__(self, limit: int = 1 << 20):
+    def __init__(self, limit: int = 1 << 21):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(4 * self.limit, np.uint64)
-        self.slots = np.full(4 * self.limit, -1, np.int32)
-        self.place, self.count = np.zeros(self.limit, np.int64), np.zeros(self.limit, np.int64)
-        self.ids = np.zeros(1 << 20, np.int32)
         self.words = self.used = 0
+        self._room(1 << 14)
+        self.ids = np.zeros(1 << 16, np.int32)
+
+    def _room(self, words: int) -> None:
+        """Space for that many words; what is held stays."""
+        old = self.words
+        hashes = self.hashes[:old] if old else np.zeros(0, np.uint64)
+        self.hashes, place, count = (np.zeros(words, t) for t in (np.uint64, np.int64, np.int32))
+        self.hashes[:old] = hashes
+        if old:
+            place[:old], count[:old] = self.place[:old], self.count[:old]
+        self.place, self.count = place, count
+        self.slots = np.full(1 << (2 * words - 1).bit_length(), -1, np.int32)
+        self._insert(np.arange(old, dtype=np.int32))
+
+    def _insert(self, number: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        slot = (self.hashes[number] & np.uint64(mask)).astype(np.int64)
+        while len(number):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = number[free]  # of several words for one slot one wins
+            lost = self.slots[slot] != number
+            number, slot = number[lost], (slot[lost] + 1) & mask
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Number of each word, -1 if unknown."""
-        mask = np.uint64(len(self.keys) - 1)
-        slot = (key & mask).astype(np.int64)
-        while True:
-            at = self.slots[slot]
-            again = np.flatnonzero((at >= 0) & (self.keys[slot] != key))
-            if not len(again):
-                return at
-            slot[again] = (slot[again] + 1) & int(mask)
+        mask = len(self.slots) - 1
+        slot = (key & np.uint64(mask)).astype(np.int64)
+        at = self.slots[slot]
+        again = np.flatnonzero((at >= 0) & (self.hashes[at] != key))
+        while len(again):
+            slot[again] = (slot[again] + 1) & mask
+            at[again] = self.slots[slot[again]]
+            again = again[(at[again] >= 0) & (self.hashes[at[again]] != key[again])]
+        return at
 
     def add(self, key: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         """Distinct new words with their ids one after another; the caller keeps to ``limit``."""
-        number = np.arange(self.words, self.words + len(key), dtype=np.int32)
+        if self.words + len(key) > len(self.hashes):
+            self._room(1 << (self.words + len(key) - 1).bit_length())
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        number = np.arange(self.words, self.words + len(key), dtype=np.int32)
         self.ids[self.used : self.used + len(ids)] = ids
+        self.hashes[number] = key
         self.place[number] = self.used + np.cumsum(count) - count
         self.count[number] = count
         self.words, self.used = self.words + len(key), self.used + len(ids)
-        mask = len(self.keys) - 1
-        slot = (key & np.uint64(mask)).astype(np.int64)
-        todo = np.arange(len(key))
-        while len(todo):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = number[todo[free]]  # of several words for one slot one wins
-            won = self.slots[slot] == number[todo]
-            self.keys[slot[won]] = key[todo[won]]
-            todo, slot = todo[~won], (slot[~won] + 1) & mask
+        self._insert(number)
 
 
 def encode_by_words(chunk: Chunk, start: np.ndarray, end: np.ndarray, store: WordStore, encode_new) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +203,10 @@ def encode_by_words(chunk: Chunk, start: np.ndarray, end: np.ndarray, store: Wor
             unknown = np.arange(len(key))
         if len(fresh) > store.limit:  # one very long text: a larger store for it
             store.limit = 1 << int(len(fresh)).bit_length()
-            store.clear()
         ids, count = encode_new(unknown[first])
         store.add(fresh, ids, count)
         number = store.find(key)
-    count = store.count[number]
+    count = store.count[number].astype(np.int64)
     flat = store.ids[ragged(store.place[number], count)]
     per_row = np.bincount(chunk.row_of(start), weights=count, minlength=chunk.rows).astype(np.int64)
     return flat, per_row

@@ -12,7 +12,7 @@ Spark's own writer commits the files, so a lost executor or a repeated task leav
 and any file system Spark reaches will do.
 
 Results: a null text counts as empty, so its document is the end id alone. Documents with equal
-doc_id are put next to each other, ordered by their coded bytes. A null doc_id comes first.
+doc_id are put next to each other, ordered by the bytes of their ids. A null doc_id comes first.
 """
 
 from __future__ import annotations
@@ -131,14 +131,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     rank_of = np.zeros(int(counted.max(initial=0)) + 1, np.uint32)
     rank_of[counted] = np.arange(len(counted))
 
-    def code(batches):
-        for batch in batches:
-            coded = [encode_ranks(rank_of[np.frombuffer(row.as_py(), f"<u{width}")]) for row in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_ids"), pa.array([c.tobytes() for c, _ in coded], pa.binary()), pa.array([d.tobytes() for _, d in coded], pa.binary())],
-                ["doc_id", "n_ids", "control", "data"],
-            )
-
     def pack(batches):
         part, block, base = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
@@ -152,18 +144,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
             )
 
         for batch in batches:
-            for doc in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_ids", "control", "data"))):
-                held.append(doc)
-                size += doc[1]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                own = np.frombuffer(ids.as_buffer(), f"<u{width}")
+                held.append((doc_id, len(own), *(x.tobytes() for x in encode_ranks(rank_of[own]))))
+                size += len(own)
                 if size >= BLOCK_IDS:
                     yield row()
                     block, base, held, size = block + 1, base + size, [], 0
         if held:
             yield row()
 
+    # The range sort reads written ids, so drawing its bounds costs no encoding.
     (
-        ids.mapInArrow(code, "doc_id long, n_ids long, control binary, data binary")
-        .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_ids", "control", "data")
+        ids.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
         .mapInArrow(pack, "part int, block long, base long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary")
         .write.option("compression", "zstd").parquet(f"{path}/blocks")
     )
