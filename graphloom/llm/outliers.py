@@ -245,7 +245,8 @@ def judge(docs: DataFrame, cutoff_z: float = CUTOFF_Z) -> DataFrame:
     found = materialize(estimates(good.select(F.explode("gs").alias("g"), "f"))).filter(F.col("n") >= MIN_GROUP)
     # The finest level with enough documents; in a corpus below that size nothing but the base rules.
     keys = good.select("gs").distinct()
-    chosen = (
+    # Written, so that its real size (one row per language and source) decides how it is joined.
+    chosen = materialize(
         keys.select("gs", F.posexplode("gs").alias("level", "g")).join(found, "g", "left")
         .groupBy("gs").agg(F.min_by(F.struct("centre", "white"), F.when(F.col("centre").isNotNull(), F.col("level"))).alias("e"))
         .select("gs", "e.centre", "e.white")
