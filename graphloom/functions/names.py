@@ -7,6 +7,8 @@ import fnmatch
 from pyspark.sql import Column, functions as F
 
 SEPARATOR = "::"
+#: Any of the three line ends; the parser counts lines by them too.
+LINE_END = r"\r\n|\r|\n"
 
 
 def entity_id(file_path: Column, scopes: Column) -> Column:
@@ -83,7 +85,7 @@ def _java_regex(pattern: str) -> str:
 
 def code_slice(source: Column, line_number: Column, end_line: Column, window: int) -> Column:
     """Lines of an entity: from its first line to ``end_line``, else ``window`` lines."""
-    lines = F.split(source, "\n")
+    lines = F.split(source, LINE_END)
     start = F.greatest(line_number, F.lit(1))
     has_end = end_line.isNotNull() & (end_line > 0)
     count = F.when(has_end, F.greatest(end_line - start + 1, F.lit(0))).otherwise(F.lit(window))

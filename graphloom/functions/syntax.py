@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import json
+import sys
 from collections.abc import Iterator
 
 FACT_SCHEMA = (
@@ -17,6 +18,8 @@ FACT_SCHEMA = (
 )
 # What a fact adds to its place in the file, in schema order.
 DETAILS = ("end_line", "is_method", "type_hint", "annotation", "bases", "module", "original_name", "properties")
+#: Python frames allowed while a file is read.
+DEEPEST = 50_000
 # Nodes that neither are facts nor contain any.
 BARREN = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.alias)
 
@@ -35,14 +38,28 @@ def fact_arrow_schema():
 
 
 def file_facts(path: str, content) -> list[tuple]:
-    """All facts of a file in source order; none when it cannot be read or parsed."""
+    """All facts of a file in source order; one ``error`` fact with the reason if there are none."""
     if content is None:
-        return []
+        return [error_fact(path, "the file cannot be read")]
+    depth = sys.getrecursionlimit()
     try:
         text = content if isinstance(content, str) else bytes(content).decode("utf-8")
+        # Texts of long chains (a.b().c()…) are written recursively, one frame or more per link.
+        sys.setrecursionlimit(max(depth, min(len(text) + 1000, DEEPEST)))
         return list(_facts(path, ast.parse(text)))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+    except (SyntaxError, ValueError, RecursionError) as error:
+        return [error_fact(path, f"{type(error).__name__}: {error}")]
+    except MemoryError as error:
+        # The parser reports nesting beyond its own stack this way; real shortage has no text.
+        if not error.args:
+            raise
+        return [error_fact(path, f"MemoryError: {error}")]
+    finally:
+        sys.setrecursionlimit(depth)
+
+
+def error_fact(path: str, reason: str) -> tuple:
+    return (path, "error", 0, 0, 0, reason, [], "", [], 0, *[None] * len(DETAILS))
 
 
 def _facts(path: str, tree: ast.Module) -> Iterator[tuple]:

@@ -10,7 +10,7 @@ from graphloom.functions.syntax import FACT_SCHEMA, fact_arrow_schema, file_fact
 from graphloom.graph import Graph, dense_numbers
 from graphloom.operators.containment import containment_edges
 from graphloom.schema import ENTITY_COLUMNS
-from graphloom.session import materialize, union_all
+from graphloom.session import materialize, parse_tasks, union_all
 
 ROWS_PER_FRAME = 20_000
 # A position is the file's number times this, plus the place inside the file.
@@ -34,13 +34,19 @@ def _parse(batches):
         yield frame(rows)
 
 
-def syntax_facts(sources: DataFrame) -> DataFrame:
-    """Parse every file of (path, content) once; unreadable or invalid files give no rows."""
-    spark = sources.sparkSession
-    # Parsing is bound by CPU, not bytes: spread small files over all cores instead of letting
-    # them share a partition. The round-robin split also breaks up folders of large files.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return sources.select("path", "content").repartition(tasks).mapInArrow(_parse, FACT_SCHEMA)
+def syntax_facts(sources: DataFrame, spread: bool = False) -> DataFrame:
+    """Parse every file of (path, content) once; unreadable or invalid files give an ``error`` row.
+
+    Files are parsed where they are read (``read_files`` spreads the listing, not the contents).
+    ``spread`` deals out contents that come from a few large partitions.
+    """
+    rows = sources.select("path", "content")
+    return (rows.repartition(parse_tasks(sources.sparkSession)) if spread else rows).mapInArrow(_parse, FACT_SCHEMA)
+
+
+def parse_errors(facts: DataFrame) -> DataFrame:
+    """Files that gave no entities, with the reason: (path, reason)."""
+    return facts.filter("kind = 'error'").select("path", F.col("name").alias("reason"))
 
 
 SCOPED_ID = "concat_ws('::', path, if(size(owner_names) > 0, array_join(owner_names, '::'), null), name)"
@@ -54,7 +60,7 @@ def parsed_entities(facts: DataFrame, file_rows: bool = True) -> DataFrame:
     variable_type = F.when(is_constant_name(F.col("name")), "CONSTANT").otherwise("VARIABLE")
     roles = "array('FILE', 'MODULE')" if file_rows else "array('MODULE')"
     return (
-        facts.filter("kind <> 'call'")
+        facts.filter("kind not in ('call', 'error')")
         .withColumn("variable_type", variable_type)
         # One pass: only a module fact can stand for two rows.
         .selectExpr("*", f"explode(if(kind = 'module', {roles}, array(''))) as role")

@@ -35,10 +35,10 @@ def viewer_nodes(entities: DataFrame) -> DataFrame:
     )
 
 
-def viewer_elements(graph: Graph, node_limit: int | None = 5000) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as the viewer shows them; the node limit is the viewer's display cap.
+def viewer_elements(graph: Graph, node_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as the viewer shows them; ``node_limit`` is a display cap a caller may set.
 
-    With a limit, edges are those among the kept nodes. ``None`` shows the whole graph.
+    With a limit, edges are those among the kept nodes. Without one the whole graph is shown.
     """
     kept = graph.entities if node_limit is None else first_rows(graph.entities, node_limit)
     edges = connected_edges(Graph(kept, graph.relationships)).select(

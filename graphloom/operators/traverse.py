@@ -193,7 +193,7 @@ def callers(graph, entity_id: str, max_depth: int = 1, types: tuple[str, ...] =
 def shortest_path(graph, source_id: str, target_id: str) -> DataFrame:
     """Undirected shortest path between two entities as steps (step, id, edge type), or no rows.
 
-    Both ends are searched for by hop count first; the path is then read back level by level.
+    The target is searched for by hop count first; the path is then read back level by level.
     """
     if source_id == target_id:
         return graph.entities.filter(F.col("id") == source_id).select(
@@ -210,9 +210,12 @@ def shortest_path_length(graph, source_id: str, target_id: str) -> DataFrame:
     """Number of hops between two entities, ignoring edge directions; no row if unconnected."""
     from graphloom.operators.subgraph import connected_edges
 
+    known = graph.entities.filter(F.col("id") == target_id).select("id")
+    if source_id == target_id:
+        return known.select("id", F.lit(0).alias("hops"))
     edges = materialize(adjacency(connected_edges(graph), "both").select("src", "dst"))
     levels = _levels(start_rows(graph.spark, [source_id]), edges, None, target=target_id)
-    return levels.filter(F.col("id") == target_id).select("id", "hops")
+    return levels.join(known, "id", "left_semi").select("id", "hops")
 
 
 def _read_back(spark, edges: DataFrame, levels: DataFrame, source_id: str, target_id: str) -> DataFrame:

@@ -142,10 +142,9 @@ class EditPlan:
     def path_warnings(self) -> DataFrame:
         name = F.concat(F.lit("`"), "entity_id", F.lit("`"))
         suggested = F.concat(
-            name, F.lit(" has no file_path specified. Suggested: `"), "inferred",
-            F.lit("` (inferred from relationships). **Confirm?**"),
+            name, F.lit(" names no file. Suggested: `"), "inferred", F.lit("`, where its edges lead; please check"),
         )
-        missing = F.concat(name, F.lit(" has no file_path and none could be inferred. Please specify a target file."))
+        missing = F.concat(name, F.lit(" names no file and its edges lead to none; choose one"))
         return self.inferred_paths.select(
             F.lit(0).alias("kind"), "entity_id",
             F.when(F.col("inferred").isNotNull(), suggested).otherwise(missing).alias("warning"),
@@ -166,8 +165,7 @@ class EditPlan:
         return staying.groupBy("entity_id").agg(F.min("neighbor_id").alias("neighbor_id")).select(
             F.lit(1).alias("kind"), "entity_id", "neighbor_id",
             F.concat(
-                F.lit("`"), "entity_id", F.lit("` is being removed but `"), "neighbor_id",
-                F.lit("` references it — this may break callers."),
+                F.lit("`"), "entity_id", F.lit("` goes, yet `"), "neighbor_id", F.lit("` stays and is linked with it"),
             ).alias("warning"),
         )
 
@@ -201,7 +199,7 @@ class EditPlan:
             self.context_neighbors.select(F.col("file_path").alias("edit_file"), F.col("neighbor_id").alias("id"), "position"), "id"
         )
         return (
-            code_slices(wanted, self.sources, SNIPPET_WINDOW)
+            code_slices(wanted, self.sources, SNIPPET_WINDOW, strip=False)
             .filter("code is not null")
             .select(F.col("edit_file").alias("file_path"), "position", F.col("id").alias("neighbor_id"), "code")
         )

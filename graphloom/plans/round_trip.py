@@ -19,7 +19,7 @@ def plan_for(spark: SparkSession, spec: ChangeSpec, codebase: str, known=None) -
 
     Paths in a graph may be relative to the code base or to the working folder; both are known.
     """
-    files = python_files(spark, codebase)
+    files = python_files(spark, codebase, suffix="")  # any file may be the target of a change
     prefix = codebase.rstrip("/") + "/"
     inside = F.when(F.col("path").startswith(prefix), F.substring("path", len(prefix) + 1, 2**31 - 1)).otherwise(F.col("path"))
     texts = decoded(read_files(files))

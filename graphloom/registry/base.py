@@ -68,7 +68,7 @@ base_edges as (
   union all select 6000000000000000 + c.c_custkey, c.customer_id, parent.c_name, 'INHERITS', 1
     from customers c join customer parent on parent.c_custkey = c.c_custkey // 2 where c.c_custkey > 0
   union all select 7000000000000000 + l_orderkey * 10 + l_linenumber, order_id, p_name, 'CALLS', l_linenumber
-    from lines join part on l_partkey = p_partkey where l_linenumber = 1),
+    from lines join part on l_partkey = p_partkey),
 parts_of as (select ord, id, line_number, string_split(id, '::') as p from entities
              where contains(id, '::') and type not in ('FILE', 'MODULE')),
 contains_edges as (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, dense_numbers
 from graphloom.operators import containment, edit, neighbors, search, stats, subgraph
 from graphloom.registry.base import over_entities, over_graph, query
 from graphloom.sources.tables import table_entities, table_graph, table_relationships
@@ -251,11 +251,10 @@ def files_in_dir(spark, sf):
    when 'VARIABLE' then 5 when 'IMPORT' then 6 else 9 end as type_rank from entities where file_path = 'ASIA/NATION_7.py')
 select id, type_rank, line_number, row_number() over (order by type_rank, line_number, ord) as position from r"""))
 def entities_in_file_sorted(spark, sf):
-    from pyspark.sql import Window
-
     rows = containment.entities_in_file(table_entities(spark, sf), "ASIA/NATION_7.py")
-    position = F.row_number().over(Window.orderBy("type_rank", "line_number", "ord")).cast("bigint")
-    return rows.select("id", "type_rank", "line_number", position.alias("position"))
+    numbered = dense_numbers(rows.withColumn("at", F.struct("type_rank", "line_number", "ord")), "at", "number")
+    return rows.withColumn("at", F.struct("type_rank", "line_number", "ord")).join(numbered, "at").select(
+        "id", "type_rank", "line_number", (F.col("number") + 1).alias("position"))
 
 
 @query("children_by_prefix", over_entities("select id, type from entities where starts_with(id, 'r2::n2::')"))
@@ -286,6 +285,13 @@ def viewer_nodes(spark, sf):
 select source_id || '::' || target_id || '::' || type as id, source_id as source, target_id as target, type as rel, line_number
 from relationships where source_id <> target_id and source_id in (select id from kept) and target_id in (select id from kept)"""))
 def viewer_edges_capped(spark, sf):
+    return subgraph.viewer_elements(table_graph(spark, sf), 5000)[1].drop("ord")
+
+
+@query("viewer_edges", over_graph("""
+select source_id || '::' || target_id || '::' || type as id, source_id as source, target_id as target, type as rel, line_number
+from relationships where source_id <> target_id and source_id in (select id from entities) and target_id in (select id from entities)"""))
+def viewer_edges(spark, sf):
     return subgraph.viewer_elements(table_graph(spark, sf))[1].drop("ord")
 
 
@@ -327,13 +333,12 @@ def edit_delete_cascade(spark, sf):
 
 
 @query("edit_delete_edge", over_graph("""
-select type, count(*) as count from relationships
-where not (source_id = 'p1' and target_id = (select supplier_id from suppliers where s_suppkey = 1) and type = 'CALLS')
-group by type"""))
+select source_id, target_id, type, line_number from relationships
+where not (source_id = 'p1' and target_id = (select supplier_id from suppliers where s_suppkey = 1) and type = 'CALLS')"""))
 def edit_delete_edge(spark, sf):
     graph = table_graph(spark, sf)
     target = graph.entities.filter("name = 'Supplier#000000001'").select("id").scalar()
-    return stats.counts_by_type(edit.delete_relationship(graph, "p1", target, "CALLS").relationships)
+    return _edges(edit.delete_relationship(graph, "p1", target, "CALLS"))
 
 
 @query("edit_rename", over_graph("""
@@ -361,10 +366,9 @@ def edit_update(spark, sf):
 
 @query("edit_add_relationships", over_graph("""
 , wanted as (select customer_id as source_id, 'p' || c_custkey as target_id from customers)
-select type, count(*) as count from (
-  select type from relationships
-  union all select 'USES' from wanted w where w.target_id in (select id from entities) and w.source_id in (select id from entities)
-) group by type"""))
+select source_id, target_id, type, line_number from relationships
+union all select source_id, target_id, 'USES', 1 from wanted w
+where w.target_id in (select id from entities) and w.source_id in (select id from entities)"""))
 def edit_add_relationships(spark, sf):
     graph = table_graph(spark, sf)
     number = F.regexp_extract("id", "::c(\\d+)$", 1)
@@ -372,7 +376,7 @@ def edit_add_relationships(spark, sf):
         F.col("id").alias("source_id"), F.concat(F.lit("p"), number).alias("target_id"),
         F.lit("USES").alias("type"), F.lit(1).alias("line_number"),
     )
-    return stats.counts_by_type(edit.add_relationships_checked(graph, wanted).relationships)
+    return _edges(edit.add_relationships_checked(graph, wanted))
 
 
 @query("merge", over_graph("""
@@ -388,7 +392,9 @@ def merge(spark, sf):
     return graph.merge(other).entities.select("id", "name", "type")
 
 
-@query("merge_relationships", over_graph("select type, 2 * count(*) as count from relationships group by type"))
+@query("merge_relationships", over_graph("""
+select source_id, target_id, type, line_number from relationships
+union all select source_id, target_id, type, line_number from relationships"""))
 def merge_relationships(spark, sf):
     graph = table_graph(spark, sf)
-    return stats.counts_by_type(graph.merge(graph).relationships)
+    return _edges(graph.merge(graph))

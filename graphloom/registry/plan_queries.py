@@ -22,7 +22,7 @@ new_entities as (
   from stepped where step <> 0
   union all select * from siblings),
 new_edges as (
-  select source_id, target_id, type, line_number from base_edges where ord not between 4000000000000000 and 4999999999999999
+  select source_id, target_id, type, line_number from relationships where ord not between 4000000000000000 and 4999999999999999
     and source_id not in (select id from stepped where step = 0) and target_id not in (select id from stepped where step = 0)
   union all select id, 'p0', 'CALLS', line_number from siblings
   union all select regexp_replace(id, '::[^:]*$', ''), id, 'CONTAINS', line_number from siblings where ord % 400 = 3),
@@ -38,14 +38,14 @@ changes as (
   from entities e full outer join new_entities n on e.id = n.id
   where e.id is null or n.id is null or row(e.name, e.type, e.file_path, e.line_number, e.end_line, e.properties)
     is distinct from row(n.name, n.type, n.file_path, n.line_number, n.end_line, n.properties)),
-old_keys as (select distinct source_id, target_id, type from base_edges),
+old_keys as (select distinct source_id, target_id, type from relationships),
 new_keys as (select distinct source_id, target_id, type from new_edges),
 edge_changes as (
   select 'added' as action, * from (select * from new_keys except select * from old_keys)
   union all select 'removed', * from (select * from old_keys except select * from new_keys)),
 neighbors as (
   select distinct c.entity_id, x.b as neighbor_id from changes c join (
-    select true as old, source_id as a, target_id as b from base_edges union all select true, target_id, source_id from base_edges
+    select true as old, source_id as a, target_id as b from relationships union all select true, target_id, source_id from relationships
     union all select false, source_id, target_id from new_edges union all select false, target_id, source_id from new_edges) x
   on x.a = c.entity_id and x.old = (c.action = 'removed'))
 """
@@ -56,7 +56,7 @@ def over_versions(body: str) -> str:
 
 
 def versions(spark, sf):
-    return diff_graphs(table_graph(spark, sf, containment=False), proposed_graph(spark, sf))
+    return diff_graphs(table_graph(spark, sf), proposed_graph(spark, sf))
 
 
 @query("diff_entities", over_versions("select action, entity_id, file_path, entity_type, fields from changes"))
@@ -66,12 +66,16 @@ def diff_entities(spark, sf):
 
 
 @query("diff_field_values", over_versions("""
-select c.entity_id, 'end_line' as field, cast(e.end_line as varchar) as old, cast(n.end_line as varchar) as new
-from changes c join entities e on e.id = c.entity_id join new_entities n on n.id = c.entity_id
-where c.action = 'modified' and e.end_line is distinct from n.end_line"""))
+select c.entity_id, f.field, f.old, f.new
+from changes c join entities e on e.id = c.entity_id join new_entities n on n.id = c.entity_id, unnest([
+  {'field': 'name', 'old': e.name, 'new': n.name}, {'field': 'type', 'old': e.type, 'new': n.type},
+  {'field': 'file_path', 'old': e.file_path, 'new': n.file_path},
+  {'field': 'line_number', 'old': cast(e.line_number as varchar), 'new': cast(n.line_number as varchar)},
+  {'field': 'end_line', 'old': cast(e.end_line as varchar), 'new': cast(n.end_line as varchar)},
+  {'field': 'properties', 'old': e.properties, 'new': n.properties}]) as t(f)
+where c.action = 'modified' and f.old is distinct from f.new"""))
 def diff_field_values(spark, sf):
-    rows = versions(spark, sf).entities.select("entity_id", F.inline("field_diffs"))
-    return rows.filter("field = 'end_line'").select("entity_id", "field", "old", "new")
+    return versions(spark, sf).entities.select("entity_id", F.inline("field_diffs"))
 
 
 @query("diff_relationships", over_versions(
@@ -182,10 +186,10 @@ def plan_removal_warnings(spark, sf):
 
 @query("plan_warnings", over_versions(INFER_SQL + REMOVAL_SQL + """
 select entity_id, case when inferred is null
-  then '`' || entity_id || '` has no file_path and none could be inferred. Please specify a target file.'
-  else '`' || entity_id || '` has no file_path specified. Suggested: `' || inferred || '` (inferred from relationships). **Confirm?**' end as warning
+  then '`' || entity_id || '` names no file and its edges lead to none; choose one'
+  else '`' || entity_id || '` names no file. Suggested: `' || inferred || '`, where its edges lead; please check' end as warning
 from inferred
-union all select entity_id, '`' || entity_id || '` is being removed but `' || neighbor_id || '` references it — this may break callers.' from kept"""))
+union all select entity_id, '`' || entity_id || '` goes, yet `' || neighbor_id || '` stays and is linked with it' from kept"""))
 def plan_warnings(spark, sf):
     return plan(spark, sf).warnings().select("entity_id", "warning")
 

@@ -159,12 +159,13 @@ def shortest_path_steps(spark, sf):
     return traverse.shortest_path(table_graph(spark, sf), "p0", "r4::n9")
 
 
-# Calls between suppliers, parts and customers only: one component per supplier plus singletons.
-COMPONENT_EDGES = "type = 'CALLS' and ord between 4000000000000000 and 5999999999999999"
+# Components over calls between known entities; containment and inheritance play no role.
+COMPONENT_EDGES = "type = 'CALLS'"
 
 
 @query("connected_components", over_graph(f"""
-, known as (select source_id as a, target_id as c from relationships where {COMPONENT_EDGES}),
+, known as (select source_id as a, target_id as c from relationships where {COMPONENT_EDGES}
+    and source_id in (select id from entities) and target_id in (select id from entities)),
   e2 as (select a, c from known union all select c, a from known),
   cc(id, label) using key (id) as (
     select id, id from entities
@@ -174,7 +175,7 @@ COMPONENT_EDGES = "type = 'CALLS' and ord between 4000000000000000 and 599999999
 select id, label as component from cc"""))
 def connected_components(spark, sf):
     graph = table_graph(spark, sf)
-    return traverse.connected_components(graph.entities, graph.relationships.filter(COMPONENT_EDGES))
+    return traverse.connected_components(graph.entities, subgraph.connected_edges(graph).filter(COMPONENT_EDGES))
 
 
 @query("connected_components_all", over_graph("""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app_name: str = "graphloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,18 +26,36 @@ def build_session(app_name: str = "graphloom", master: str | None = None, **conf
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not start in its folder."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="graphloom-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can read.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when neither that setting nor a
-    checkpoint folder exists (tests, a laptop) a local one is made and registered.
+    The cluster names it in ``spark.checkpoint.dir``. Only on a ``local`` master, where driver and
+    executors are one process, a local folder is made where that setting is missing.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK_DIRS:
         _FALLBACK_DIRS[app] = tempfile.mkdtemp(prefix="graphloom-")
@@ -53,6 +75,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parse_tasks(spark: SparkSession) -> int:
+    """Tasks for work that is bound by CPU, not bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the written tables of this application; frames that read them end with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/graphloom-tables/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL of frames with equal column names."""
     result = frames[0]

@@ -7,26 +7,29 @@ folders are listed here, one task row per folder and one round per folder level.
 from __future__ import annotations
 
 import os
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions.names import matches_any_glob
-from graphloom.session import materialize, union_all
+from graphloom.session import materialize, parse_tasks, union_all
 
+# Contents are handed on in frames of about this size.
+FLUSH_BYTES = 32 << 20
 FILE_SCHEMA = "location string, is_dir boolean, modified double, size bigint"
 
 
-def _list_folders(batches):
+def _list_folders(batches, suffix: str):
     from pyarrow import fs
 
     for batch in batches:
         rows = []
         for location in batch["location"]:
             system, path = fs.FileSystem.from_uri(location)
-            for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            for info in system.get_file_info(fs.FileSelector(path)):
                 is_dir = info.type == fs.FileType.Directory
-                if is_dir or info.path.endswith(".py"):
+                if is_dir or info.path.endswith(suffix):
                     prefix = location.split("://")[0] + "://" if "://" in location else ""
                     rows.append((prefix + info.path, is_dir, info.mtime.timestamp() if info.mtime else None, info.size))
         yield pd.DataFrame(rows, columns=["location", "is_dir", "modified", "size"])
@@ -36,19 +39,27 @@ def _read_files(batches):
     from pyarrow import fs
 
     for batch in batches:
-        contents = []
+        contents: list[bytes | None] = []
+        first = 0
         for location in batch["location"]:
             try:
                 system, path = fs.FileSystem.from_uri(location)
                 with system.open_input_stream(path) as stream:
                     contents.append(stream.read())
-            except OSError:
-                contents.append(None)
-        yield pd.DataFrame({"path": batch["path"], "content": contents})
+            except (FileNotFoundError, PermissionError):
+                contents.append(None)  # any other error is raised, so that Spark tries again
+            if sum(len(c or b"") for c in contents) >= FLUSH_BYTES:
+                yield pd.DataFrame({"path": batch["path"][first : first + len(contents)], "content": contents})
+                first, contents = first + len(contents), []
+        yield pd.DataFrame({"path": batch["path"][first:], "content": contents})
 
 
-def python_files(spark: SparkSession, root: str, exclude_patterns: list[str] | None = None) -> DataFrame:
-    """``.py`` files under a folder (or a single file) as (path, location, modified, size).
+def python_files(
+    spark: SparkSession, root: str, exclude_patterns: list[str] | None = None, suffix: str = ".py"
+) -> DataFrame:
+    """Files under a folder (or a single file) that end in ``suffix``: (path, location, modified, size).
+
+    A root that does not exist, also only as seen by an executor, is an error.
 
     Glob patterns are tested against the full path and the file name; for a single file they
     do not apply.
@@ -56,16 +67,18 @@ def python_files(spark: SparkSession, root: str, exclude_patterns: list[str] | N
     root = str(root)
     remote = "://" in root
     absolute = root if remote else os.path.abspath(root)
+    if not remote and not os.path.exists(absolute):
+        raise FileNotFoundError(absolute)
     if not remote and os.path.isfile(absolute):
         stat = os.stat(absolute)
         return spark.createDataFrame(
-            [(os.path.normpath(root), absolute, stat.st_mtime, stat.st_size)] if absolute.endswith(".py") else [],
+            [(os.path.normpath(root), absolute, stat.st_mtime, stat.st_size)] if absolute.endswith(suffix) else [],
             "path string, location string, modified double, size bigint",
         )
     folders = spark.range(1).select(F.lit(absolute).alias("location"))
     found = []
     while True:
-        listed = materialize(folders.mapInPandas(_list_folders, FILE_SCHEMA))
+        listed = materialize(folders.mapInPandas(partial(_list_folders, suffix=suffix), FILE_SCHEMA))
         found.append(listed.filter("not is_dir"))
         folders = listed.filter("is_dir").select("location").repartition("location")
         if listed.filter("is_dir").isEmpty():
@@ -81,7 +94,9 @@ def python_files(spark: SparkSession, root: str, exclude_patterns: list[str] | N
 
 def read_files(files: DataFrame) -> DataFrame:
     """Contents as (path, content); an unreadable file has null content."""
-    return files.select("path", "location").repartition("path").mapInPandas(_read_files, "path string, content binary")
+    tasks = parse_tasks(files.sparkSession)
+    # The listing is dealt out; contents are read where they are used and never shuffled.
+    return files.select("path", "location").repartition(tasks, "path").mapInPandas(_read_files, "path string, content binary")
 
 
 def decoded(sources: DataFrame) -> DataFrame:

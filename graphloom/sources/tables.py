@@ -130,7 +130,7 @@ class TableGraph:
         supplier_count = self.table("supplier").agg(F.count(F.lit(1))).scalar()
         sourced = part.select("p_partkey", (F.col("p_partkey") % supplier_count).alias("via"))
         parents = self.table("customer").selectExpr("c_custkey as parent_key", "c_name as parent_name")
-        named = self.lines.filter("line_number = 1").join(
+        named = self.lines.join(
             part.select("p_partkey", "p_name"), F.expr("l_partkey = p_partkey")
         )
         return union_all([
@@ -176,7 +176,7 @@ def proposed_graph(spark: SparkSession, sf_dir: str) -> Graph:
     3 gains a sibling ``…x`` that calls ``p0`` (every second one without a file path, and every
     second of those contained in the order's customer).
     """
-    base = table_graph(spark, sf_dir, containment=False)
+    base = table_graph(spark, sf_dir)
     step = f"if(ord between {5 * ENTITY_BAND} and {6 * ENTITY_BAND - 1}, ord % 100, -1)"
     entities = base.entities.filter(f"{step} <> 0").selectExpr(
         "ord", "id", "name", f"if({step} = 1, 'CLASS', type) as type", "file_path", "line_number",

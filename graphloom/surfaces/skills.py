@@ -1,270 +1,222 @@
-"""``/explore``, ``/impact``, ``/context`` and ``/plan``: text reports over a graph."""
+"""Text reports over a graph, asked for by commands such as ``/explore name --hops 2``.
+
+A report is a list of sections; a section is a heading with facts (one line each) or a list of rows
+that a DataFrame is asked for. Lists are cut to ``--limit`` rows, and always say how many there are.
+"""
 
 from __future__ import annotations
 
 import json
-import re
+import shlex
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators import context, impact, neighbors, search, traverse
+from graphloom.surfaces.tools import risk_reasons
 
-SKILLS: dict[str, type] = {}
+LIMIT = 8
+CODE_LINES = 60
+#: Words that stand for yes and no in option values.
+SWITCH_WORDS = {"true": True, "yes": True, "false": False, "no": False}
 
 
-def register_skill(name: str):
-    def wrap(cls):
-        SKILLS[name] = cls
-        return cls
+# ---- commands -----------------------------------------------------------------------------------
 
-    return wrap
+def option_value(text: str):
+    """A whole number, a number, a yes/no word, or the text itself."""
+    if text.lower() in SWITCH_WORDS:
+        return SWITCH_WORDS[text.lower()]
+    try:
+        return json.loads(text) if text.lstrip("-")[:1].isdigit() else text
+    except ValueError:
+        return text
 
 
 def parse_command(command: str) -> tuple[str, dict[str, Any]]:
-    """``/name target --key value --key=value --flag`` to a name and arguments."""
-    match = re.match(r"^/(\w+)(.*)$", command.strip())
-    if not match:
+    """``/name target --key value --key=value --flag`` to a name and options; quotes hold spaces together.
+
+    The first bare word is the target and also answers to ``entity_name`` and ``query``.
+    """
+    try:
+        words = shlex.split(command)
+    except ValueError:  # a quote that is never closed is a character like any other
+        words = command.split()
+    if not words or not words[0][1:].isidentifier() or words[0][0] != "/":
         return "", {}
-    args: dict[str, Any] = {}
-    tokens = match.group(2).split()
-    while tokens and not tokens[0].startswith("--"):
-        args.setdefault("target", tokens.pop(0)) if "target" not in args else tokens.pop(0)
-    while tokens:
-        token = tokens.pop(0)
-        if not token.startswith("--"):
-            continue
-        key, has_value, value = token[2:].partition("=")
-        if not has_value and tokens and not tokens[0].startswith("--"):
-            has_value, value = "=", tokens.pop(0)
-        args[key.replace("-", "_")] = parse_value(value) if has_value else True
-    if "target" in args:
-        args.setdefault("entity_name", args["target"])
-        args.setdefault("query", args["target"])
-    return match.group(1), args
-
-
-def parse_value(text: str):
-    """Integer, number, yes/no word or plain text."""
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            continue
-    return {"true": True, "yes": True, "false": False, "no": False}.get(text.lower(), text)
+    options: dict[str, Any] = {}
+    bare: list[str] = []
+    waiting: str | None = None
+    for word in words[1:]:
+        if word.startswith("--"):
+            key, equals, value = word[2:].partition("=")
+            key = key.replace("-", "_")
+            options[key] = option_value(value) if equals else True
+            waiting = None if equals else key
+        elif waiting is not None:
+            options[waiting], waiting = option_value(word), None
+        elif not options:
+            bare.append(word)
+    if bare:
+        options = {"target": bare[0], "entity_name": bare[0], "query": bare[0]} | options
+    return words[0][1:], options
+
+
+# ---- reports ------------------------------------------------------------------------------------
+
+@dataclass
+class Report:
+    lines: list[str] = field(default_factory=list)
+
+    def heading(self, text: str, level: int = 2) -> None:
+        self.lines += ([""] if self.lines else []) + [f"{'#' * level} {text}"]
+
+    def facts(self, **values) -> None:
+        self.lines += [f"{name.replace('_', ' ')}: {value}" for name, value in values.items() if value not in (None, "")]
+
+    def rows(self, title: str, rows: DataFrame, order: Iterable, text: Callable[[Row], str], limit: int) -> None:
+        """Up to ``limit`` rows in their order, under a heading that tells how many there are."""
+        total = rows.count()
+        self.heading(f"{title} — {min(total, limit)} of {total}", 3)
+        self.lines += [f"* {text(row)}" for row in rows.orderBy(*order).limit(limit).collect()]
+
+    def code(self, name: str, text: str, most: int) -> None:
+        lines = text.splitlines()
+        cut = f"  (first {most} of {len(lines)} lines)" if len(lines) > most else ""
+        self.lines += [f"`{name}`{cut}", "```python", *lines[:most], "```"]
+
+    def __str__(self) -> str:
+        return "\n".join(self.lines)
+
+
+def place(row) -> str:
+    """How a report names an entity."""
+    return f"`{row.name}` [{row.type}] {row.file_path}:{row.line_number}" if row.name is not None else f"`{row.id}`"
+
+
+def with_details(graph: Graph, rows: DataFrame) -> DataFrame:
+    """Rows with an ``id`` and the columns ``place`` needs; unknown ids keep null ones."""
+    return rows.join(graph.entities.select("id", "name", "type", "file_path", "line_number"), "id", "left")
+
+
+def named(graph: Graph, text: str, wanted_type: str | None = None) -> DataFrame:
+    found = search.search_by_name(graph.entities, str(text), fuzzy=True)
+    return found.filter(F.col("type") == wanted_type) if wanted_type else found
+
+
+def only_match(graph: Graph, options: dict) -> Row:
+    if "entity_name" not in options:
+        raise ValueError("name the entity: /command NAME")
+    row = search.first_rows(named(graph, options["entity_name"]), 1).first()
+    if row is None:
+        raise LookupError(f"no entity is named like {options['entity_name']!r}")
+    return row
+
+
+def explore(graph: Graph, options: dict, sources: DataFrame | None) -> tuple[str, dict]:
+    """Every match of a name with its edges, callers, reach and, on request, code."""
+    only_match(graph, options)
+    limit, hops = int(options.get("limit", LIMIT)), int(options.get("hops", 1))
+    found = named(graph, options["entity_name"], options.get("type"))
+    total = found.count()
+    report = Report()
+    report.heading(f"{total} match(es) of {options['entity_name']}")
+    for entity in search.first_rows(found, limit).collect():
+        report.heading(place(entity))
+        report.facts(ends_at_line=entity.end_line, properties=entity.properties if entity.properties != "{}" else None)
+        for direction in ("outgoing", "incoming"):
+            edges = neighbors.neighbors(graph.relationships, entity.id, direction).withColumnRenamed("neighbor_id", "id")
+            report.rows(direction, with_details(graph, edges), ("ord", "id"), lambda r: f"{r.relationship_type} {place(r)}", limit)
+        calls = neighbors.direct_callers(graph.relationships, entity.id).select(F.col("caller").alias("id"), "ord")
+        report.rows("callers", with_details(graph, calls), ("ord", "id"), place, limit)
+        near = traverse.within_hops(graph.relationships, graph.spark, [entity.id], hops, "outgoing")
+        counts = {r.hops: r["count"] for r in near.groupBy("hops").count().collect()}  # one row per hop
+        report.heading("reach", 3)
+        report.facts(**{f"after_{hop}_hop(s)": counts.get(hop, 0) for hop in range(1, hops + 1)})
+        if options.get("show_code") and sources is not None:
+            report.heading("code", 3)
+            shown = context.code_by_entity(graph, sources, entity.id, min(hops, 1)).filter("code is not null")
+            for row in shown.orderBy("hops", "key").limit(limit).collect():
+                report.code(row.name, row.code, int(options.get("lines", CODE_LINES)))
+    return str(report), {"matches": total}
+
+
+def impact_report(graph: Graph, options: dict, _sources) -> tuple[str, dict]:
+    """Who depends on an entity and how risky a change is."""
+    entity = only_match(graph, options)
+    limit, depth = int(options.get("limit", LIMIT)), int(options.get("depth", 2))
+    tree = traverse.callers(graph, entity.id, depth).select(F.col("caller").alias("id"), "depth", "key")
+    affected = impact.affected_callers(graph, entity.id, depth, bool(options.get("include_direct")))
+    row = impact.impact_assessment(graph, affected).first()
+    report = Report()
+    report.heading(f"impact of {place(entity)}")
+    report.facts(risk=row.risk_level, because="; ".join(risk_reasons(row.total_affected, row.files_affected, row.test_files)))
+    report.rows("direct callers", with_details(graph, tree.filter("depth = 1")), ("key",), place, limit)
+    report.rows(f"callers up to depth {depth}", with_details(graph, tree.filter("depth > 1")), ("depth", "key"), lambda r: f"{place(r)}, depth {r.depth}", limit)
+    files = graph.entities.join(affected, "id", "left_semi").select("file_path").distinct()
+    report.rows("files", files, ("file_path",), lambda r: r.file_path, limit)
+    return str(report), row.asDict()
+
+
+def context_report(graph: Graph, options: dict, sources: DataFrame | None) -> tuple[str, dict]:
+    """Code of an entity and of what it reaches, file by file."""
+    entity = only_match(graph, options)
+    without = str(options.get("exclude_types") or "").replace(",", " ").split()
+    rows = context.extract_context(graph, sources, entity.id, int(options.get("hops", 1)), without or None, context.SKILL_WINDOW)
+    counts = rows.agg(F.count_distinct("file_path").alias("files"), F.count("code").alias("pieces")).first().asDict()
+    report = Report()
+    report.heading(f"code around {place(entity)}")
+    report.facts(**counts, left_out=", ".join(without))
+    shown = None
+    for row in rows.orderBy("file_path", "hops", "key").toLocalIterator():  # streamed, one partition at a time
+        if row.file_path != shown:
+            shown = row.file_path
+            report.heading(shown, 3)
+        if row.code is None:
+            report.facts(no_source_for=row.name)
+        else:
+            report.code(row.name + (" (asked for)" if row.id == entity.id else ""), row.code, int(options.get("lines", CODE_LINES)))
+    return str(report), counts
+
+
+def plan_report(graph: Graph, options: dict, _sources) -> tuple[str, dict]:
+    """The edit plan of a stored change set, as markdown or JSON."""
+    from graphloom.surfaces.tools import generate_plan
+
+    if "target" not in options:
+        raise ValueError("name the change set: /plan FILE --codebase FOLDER")
+    result = generate_plan(graph.spark, options["target"], str(options.get("codebase", ".")), options.get("existing_kg"))
+    if not result["success"]:
+        raise RuntimeError(result["error"])
+    as_json = options.get("format") == "json"
+    return json.dumps(result["plan"], indent=2, ensure_ascii=False) if as_json else result["markdown"], result["plan"]
+
+
+SKILLS: dict[str, Callable] = {"explore": explore, "impact": impact_report, "context": context_report, "plan": plan_report}
+
+
+def register_skill(name: str):
+    """Add a function (graph, options, sources) -> (text, data)."""
+
+    def wrap(fn):
+        SKILLS[name] = fn
+        return fn
+
+    return wrap
 
 
 def invoke_skill(command: str, graph: Graph, sources: DataFrame | None = None) -> dict:
-    name, args = parse_command(command)
-    result = {"success": False, "skill_name": name, "data": {}}
-    if not name:
-        return result | {"output": "Error: Invalid command syntax. Use /skill-name --arg value"}
+    """Run a command; the result says whether it worked and never is an exception."""
+    name, options = parse_command(command)
+    answer = {"success": False, "skill_name": name, "output": "", "data": {}}
     if name not in SKILLS:
-        return result | {"output": f"Error: Unknown skill '{name}'. Available skills: {', '.join(SKILLS)}"}
+        known = " ".join(f"/{s}" for s in SKILLS)
+        return answer | {"output": f"no command {name!r}; there are {known}" if name else f"a command starts with a slash: {known}"}
     try:
-        skill = SKILLS[name](graph, args, sources)
-        return {"success": True, "skill_name": name, "output": skill.run(), "data": skill.result_data}
-    except Exception as error:
-        return result | {"output": f"Error running skill: {error}"}
-
-
-def _more(count: int, shown: int, noun: str = "more") -> list[str]:
-    return [f"... and {count - shown} {noun}"] if count > shown else []
-
-
-class Skill:
-    """Base class: arguments, entity labels and the first name match."""
-
-    def __init__(self, graph: Graph, args: dict[str, Any], sources: DataFrame | None = None):
-        self.graph, self.args, self.sources = graph, args, sources
-        self.result_data: dict = {}
-
-    def run(self) -> str:
-        raise NotImplementedError
-
-    def required(self, key: str):
-        if key not in self.args:
-            raise ValueError(f"Required argument '{key}' is missing")
-        return self.args[key]
-
-    def first_match(self, name: str):
-        return search.first_rows(search.search_by_name(self.graph.entities, str(name), fuzzy=True), 1).first()
-
-    def label(self, ids: DataFrame, order: str = "ord") -> list[str]:
-        """Labels of few ids (column ``id``): name, short type and place, or the id itself."""
-        known = self.graph.entities.select("id", "name", "type", "file_path", "line_number")
-        rows = ids.join(known, "id", "left").orderBy(order, "id").toLocalIterator()
-        return [
-            r.id if r.name is None else f"`{r.name}` ({r.type[:4]}) at {r.file_path}:{r.line_number}" for r in rows
-        ]
-
-
-def entity_label(row) -> str:
-    return f"`{row.name}` ({row.type[:4]}) at {row.file_path}:{row.line_number}"
-
-
-@register_skill("explore")
-class ExploreSkill(Skill):
-    """Matches of a name with their edges, callers, reach and optionally code."""
-
-    def run(self) -> str:
-        name = self.required("entity_name")
-        wanted = self.args.get("type")
-        found = search.search_by_name(self.graph.entities, str(name), fuzzy=True)
-        if wanted:
-            found = found.filter(F.col("type") == wanted)
-        total = found.count()
-        if not total:
-            return f"## No entities found matching '{name}'" + (f" with type '{wanted}'" if wanted else "")
-        parts: list[str] = []
-        for i, entity in enumerate(search.first_rows(found, 5).collect()):  # five rows at most
-            parts += (["\n---\n"] if i else []) + self._entity(entity)
-        if total > 5:
-            parts.append(f"\n*... and {total - 5} more matches (use exact name to filter)*")
-        return "\n".join(parts)
-
-    def _entity(self, entity) -> list[str]:
-        hops = self.args.get("hops", 1)
-        parts = [f"## Entity: `{entity.name}` ({entity.type})", f"**File**: `{entity.file_path}:{entity.line_number}`"]
-        if entity.end_line:
-            parts.append(f"**Lines**: {entity.line_number}-{entity.end_line}")
-        properties = json.loads(entity.properties)
-        if properties:
-            parts.append("**Properties**: " + ", ".join(f"{k}={v}" for k, v in list(properties.items())[:5]))
-        parts.append("")
-        parts += self._edges(entity.id, "outgoing", ["CONTAINS", "CALLS", "IMPORTS"])
-        parts += self._edges(entity.id, "incoming", ["CONTAINS", "IMPORTS"])
-        calls = neighbors.direct_callers(self.graph.relationships, entity.id).select(F.col("caller").alias("id"), "ord")
-        count = calls.count()
-        if count:
-            parts.append(f"### Callers ({count})")
-            parts += [f"- {text}" for text in self.label(search.first_rows(calls, 5))] + _more(count, 5) + [""]
-        reach = traverse.within_hops(self.graph.relationships, self.graph.spark, [entity.id], hops, "outgoing").agg(
-            F.count(F.lit(1)), F.count_if(F.col("hops") == 1)
-        ).first()
-        parts += [f"### Reachability ({hops} hops)", f"- Entities within 1 hop: {reach[1]}", f"- Total entities reachable: {reach[0]}"]
-        if self.args.get("show_code") and self.sources is not None:
-            parts += ["", "### Code Snippets"]
-            rows = context.code_by_entity(self.graph, self.sources, entity.id, min(hops, 1)).orderBy("hops", "key").limit(3)
-            for row in rows.toLocalIterator():
-                lines = (row.code or "# Could not extract code").split("\n")
-                parts += [f"\n#### {row.name}", "```python", "\n".join(lines[:20])] + (["..."] if len(lines) > 20 else []) + ["```"]
-        return parts
-
-    def _edges(self, entity_id: str, direction: str, types: list[str]) -> list[str]:
-        rows = neighbors.neighbors(self.graph.relationships, entity_id, direction, types)
-        count = rows.count()
-        if not count:
-            return []
-        names = self.graph.entities.select(F.col("id").alias("neighbor_id"), "name")
-        top = rows.orderBy("ord", "neighbor_id").limit(10).join(names, "neighbor_id", "left").orderBy("ord", "neighbor_id")
-        lines = [f"  - {r.relationship_type}: {r.name or r.neighbor_id.split('::')[-1]}" for r in top.toLocalIterator()]
-        return [f"### {direction.capitalize()} Relationships"] + lines + ["  " + m for m in _more(count, 10)] + [""]
-
-
-@register_skill("impact")
-class ImpactSkill(Skill):
-    """What depends on an entity, by callers, files and a risk score."""
-
-    def run(self) -> str:
-        entity = self.first_match(self.required("entity_name"))
-        if entity is None:
-            return f"## No entities found matching '{self.args['entity_name']}'"
-        depth = self.args.get("depth", 2)
-        tree = traverse.callers(self.graph, entity.id, depth)
-        direct = tree.filter("depth = 1").select(F.col("caller").alias("id"), "key")
-        affected = impact.affected_callers(self.graph, entity.id, depth, bool(self.args.get("include_direct")))
-        deeper = tree.filter("depth > 1").select(F.col("caller").alias("id"), "depth", "key")
-        n_direct, n_deeper = direct.count(), deeper.count()
-        row = impact.impact_assessment(self.graph, affected).first()
-        self.result_data = row.asDict()
-
-        parts = [f"## Impact Analysis: `{entity.name}` ({entity.type})", f"**Target**: {entity_label(entity)}", "", "### Direct Impact"]
-        if n_direct:
-            parts.append(f"**{n_direct} entity/entities directly call this**:")
-            parts += [f"- {t}" for t in self.label(direct.orderBy("key").limit(5), "key")] + _more(n_direct, 5)
-        else:
-            parts.append("*No direct callers found*")
-        parts += ["", "### Transitive Impact"]
-        if n_deeper:
-            parts.append(f"**{n_deeper} additional entities transitively depend on this** (at depth {depth}):")
-            top = deeper.orderBy("depth", "key").limit(5)
-            depths = [r.depth for r in top.toLocalIterator()]
-            labels = self.label(top.withColumn("place", F.struct("depth", "key")), "place")
-            parts += [f"- {t} (depth: {d})" for t, d in zip(labels, depths)] + _more(n_deeper, 5)
-        else:
-            parts.append("*No transitive dependents found*")
-        files = self.graph.entities.join(affected, "id", "left_semi").select("file_path").distinct().orderBy("file_path").limit(10)
-        parts += ["", "### Files Affected", f"**{row.files_affected} file/files contain affected entities**:"]
-        parts += [f"- `{r.file_path.split('/')[-1]}`" for r in files.toLocalIterator()] + _more(row.files_affected, 10, "more files")
-        parts += ["", "### Risk Assessment", f"**Risk Level**: {row.risk_level}", "", "**Reasoning**:"]
-        return "\n".join(parts + [f"- {r}" for r in self._reasons(row)])
-
-    @staticmethod
-    def _reasons(row) -> list[str]:
-        total, files = row.total_affected, row.files_affected
-        if total == 0:
-            return ["No other entities depend on this"]
-        reach = "High" if total >= impact.HIGH_REACH else "Moderate" if total >= impact.MEDIUM_REACH else "Low"
-        reasons = [f"{reach} reach: {total} entities affected"]
-        if files >= impact.SOME_FILES:
-            kind = "Cross-file" if files >= impact.MANY_FILES else "Some cross-file"
-            reasons.append(f"{kind} impact: {files} files involved")
-        if row.test_files:
-            reasons.append(f"Affects {row.test_files} test file(s)")
-        return reasons
-
-
-@register_skill("context")
-class ContextSkill(Skill):
-    """Code of an entity and its surroundings, file by file."""
-
-    MAX_LINES = 40
-
-    def run(self) -> str:
-        entity = self.first_match(self.required("entity_name"))
-        if entity is None:
-            return f"## No entities found matching '{self.args['entity_name']}'"
-        excluded = str(self.args.get("exclude_types") or "").replace(",", " ").split() or None
-        rows = context.extract_context(
-            self.graph, self.sources, entity.id, self.args.get("hops", 1), excluded, context.SKILL_WINDOW
-        )
-        parts = [f"## Code Context: `{entity.name}`", f"**File**: {entity_label(entity)}", ""]
-        files, total, current = 0, 0, None
-        for row in rows.orderBy("file_path", "hops", "key").toLocalIterator():
-            if row.file_path != current:
-                current, files = row.file_path, files + 1
-                parts += [f"### 📄 `{row.file_path.split('/')[-1]}`", ""]
-                if row.code is None:
-                    parts += ["*Error reading file*", ""]
-            if row.code is None:
-                continue
-            total += 1
-            lines = row.code.split("\n")
-            if len(lines) > self.MAX_LINES:
-                lines = lines[: self.MAX_LINES] + ["... [truncated]"]
-            parts += [f"**{row.name}** ({row.type}) {'⭐ (target)' if row.id == entity.id else ''}", "```python", "\n".join(lines), "```", ""]
-        parts += ["---", f"**Summary**: {files} file(s), {total} entity(s)"]
-        if excluded:
-            parts.append(f"Excluded types: {', '.join(excluded)}")
-        return "\n".join(parts)
-
-
-@register_skill("plan")
-class PlanSkill(Skill):
-    """An edit plan from a stored change set."""
-
-    def run(self) -> str:
-        from graphloom.surfaces.tools import generate_plan
-
-        path = self.args.get("target")
-        if not path:
-            return "Error: Please provide the path to a change_spec.json file.\nUsage: /plan <change_spec.json> --codebase <path>"
-        result = generate_plan(self.graph.spark, path, str(self.args.get("codebase", ".")), self.args.get("existing_kg"))
-        if not result["success"]:
-            return f"Error loading change spec: {result['error']}"
-        self.result_data = result["plan"]
-        if self.args.get("format") == "json":
-            return json.dumps(result["plan"], indent=2, ensure_ascii=False)
-        return result["markdown"]
+        text, data = SKILLS[name](graph, options, sources)
+    except Exception as error:  # the contract of commands: report, do not raise
+        return answer | {"output": f"{type(error).__name__}: {error}"}
+    return answer | {"success": True, "output": text, "data": data}

@@ -90,7 +90,8 @@ def get_callers(graph: Graph, entity_id: str, max_depth: int = 1, types: tuple[s
     direct = [r["caller"] for r in rows if r["depth"] == 1]
     deeper = [r["caller"] for r in rows if r["depth"] > 1]
     total = len(direct) if max_depth == 1 else len(set(direct)) + len(deeper)
-    tree = [{"caller": r["caller"], "callee": r["callee"], "relationship_type": "CALLS", "depth": r["depth"]} for r in rows]
+    kind = types[0] if len(types) == 1 else "/".join(types)
+    tree = [{"caller": r["caller"], "callee": r["callee"], "relationship_type": kind, "depth": r["depth"]} for r in rows]
     return {"entity_id": entity_id, "direct_callers": direct, "transitive_callers": deeper, "call_graph": tree, "total_callers": total}
 
 
@@ -186,43 +187,45 @@ def generate_plan(spark, change_spec_path: str, codebase_path: str, existing_pat
 
 @register_tool("impact_analysis")
 @reports(entity=None, direct_impact=[], transitive_impact=[], files_affected=[], risk_level="UNKNOWN", reasons=[])
-def analyze_impact(graph: Graph, entity_name: str, depth: int = 2) -> dict:
-    """Impact of the first entity whose name contains the text; lists show 5, 10 and 10 items."""
+def analyze_impact(graph: Graph, entity_name: str, depth: int = 2, max_direct: int = 5, max_deeper: int = 10, max_files: int = 10) -> dict:
+    """Impact of the first entity whose name contains the text; the lists are cut, the totals are not."""
     matches = find_entity(graph, entity_name, max_results=1)["matches"]
     if not matches:
         raise LookupError(f"Entity '{entity_name}' not found")
     entity_id = matches[0]["id"]
     row = impact.impact(graph, entity_id, depth).first()
     tree = traverse.callers(graph, entity_id, depth)
-    direct = tree.filter("depth = 1").orderBy("key").limit(5)
-    deeper = tree.filter("depth > 1").orderBy("depth", "key").limit(10)
+    direct = tree.filter("depth = 1").orderBy("key").limit(max_direct)
+    deeper = tree.filter("depth > 1").orderBy("depth", "key").limit(max_deeper)
     reached = traverse.within_hops(graph.relationships, graph.spark, [entity_id], depth, "outgoing", ["CALLS"])
-    files = graph.entities.join(reached, "id", "left_semi").select("file_path").distinct().orderBy("file_path").limit(10)
+    files = graph.entities.join(reached, "id", "left_semi").select("file_path").distinct().orderBy("file_path").limit(max_files)
     return {
         "entity": matches[0],
         "direct_impact": [r.caller for r in direct.toLocalIterator()],
         "transitive_impact": [r.caller for r in deeper.toLocalIterator()],
         "files_affected": [r.file_path for r in files.toLocalIterator()],
         "risk_level": row.risk_level,
-        "reasons": _reasons(row.total_affected, row.files_affected),
+        "total_affected": row.total_affected, "total_files": row.files_affected,
+        "reasons": risk_reasons(row.total_affected, row.files_affected),
     }
 
 
-def _reasons(total: int, files: int) -> list[str]:
-    if total == 0:
-        reasons = ["No other entities depend on this"]
-    else:
-        reach = "High" if total >= impact.HIGH_REACH else "Moderate" if total >= impact.MEDIUM_REACH else "Low"
-        reasons = [f"{reach} reach: {total} entities affected"]
+def risk_reasons(total: int, files: int, test_files: int = 0) -> list[str]:
+    """Why an impact has its level, from the counts alone."""
+    levels = ((impact.HIGH_REACH, "wide"), (impact.MEDIUM_REACH, "medium"), (1, "narrow"))
+    spread = next((word for bound, word in levels if total >= bound), None)
+    found = [f"{spread} reach ({total} dependents)" if spread else "nothing depends on it"]
     if files >= impact.MANY_FILES:
-        reasons.append(f"Cross-file impact: {files} files involved")
-    return reasons
+        found.append(f"spread over {files} files")
+    if test_files:
+        found.append(f"{test_files} of the files are tests")
+    return found
 
 
 @register_tool("understand_function")
 @reports(function=None, called_by=[], context={})
-def understand_function(graph: Graph, sources, name: str) -> dict:
-    """First match, up to five of its callers, and the code one hop around it."""
+def understand_function(graph: Graph, sources, name: str, max_callers: int = 5) -> dict:
+    """First match, some of its callers and their number, and the code one hop around it."""
     matches = find_entity(graph, name, max_results=5)["matches"]
     if not matches:
         raise LookupError(f"Function '{name}' not found in codebase")
@@ -231,7 +234,7 @@ def understand_function(graph: Graph, sources, name: str) -> dict:
     near = extract_context(graph, sources, entity_id, 1, ["IMPORT", "VARIABLE"])
     return {
         "function": matches[0],
-        "called_by": [r.caller for r in calls.orderBy("ord", "caller").limit(5).toLocalIterator()],
+        "called_by": [r.caller for r in calls.orderBy("ord", "caller").limit(max_callers).toLocalIterator()],
         "context": near["context"],
         "total_callers": calls.count(),
     }
@@ -247,9 +250,9 @@ def export(graph: Graph, output_path: str = "kg_current.json") -> dict:
     return {"path": output_path, "entities": row.entities, "relationships": row.relationships}
 
 
-def find_all_by_pattern(graph: Graph, pattern: str, entity_type: str | None = None) -> list[dict]:
-    """Matches of a name pattern, ten at most."""
-    return find_entity(graph, pattern, entity_type)["matches"]
+def find_all_by_pattern(graph: Graph, pattern: str, entity_type: str | None = None, max_results: int = 10) -> list[dict]:
+    """Matches of a name pattern, ``max_results`` at most."""
+    return find_entity(graph, pattern, entity_type, max_results=max_results)["matches"]
 
 
 @reports(internal_imports=[], external_imports=[])

@@ -87,8 +87,12 @@ def test_round_trip_plan(spark, tmp_path):
     assert edits["f.py"]["description"] == "Remove function `b`; Modify `a` (type, end_line)"
     assert edits["g.py"]["description"] == "Add function `d`"
     assert edits["f.py"]["context_snippets"]["f.py::a"].startswith("def a():")
-    assert any("Suggested: `g.py`" in w for w in result["warnings"])
-    assert any(w.startswith("`f.py::b` is being removed but `f.py::a`") for w in result["warnings"])
+    changed = {c["entity_id"]: c for c in edits["f.py"]["entity_changes"]}
+    assert changed["f.py::a"]["field_diffs"] == {"type": ["FUNCTION", "ASYNC_FUNCTION"], "end_line": [None, 9]}
+    assert changed["f.py::a"]["neighbor_ids"] == ["f.py::a", "f.py::d"] and changed["f.py::a"]["file_path"] == "f.py"
+    assert changed["f.py::b"]["before"]["properties"] == {"x": [2], "y": 1} and changed["f.py::b"]["after"] is None
+    assert any("`f.py::d`" in w and "`g.py`" in w for w in result["warnings"])
+    assert any("`f.py::b`" in w and "`f.py::a`" in w for w in result["warnings"])
     text = result["markdown_plan"]
     assert "## Edit Plan — 3 file(s), 4 change(s)" in text and "### 3. CREATE: `h.py`" in text and "### Warnings" in text
     same = run_round_trip(spark, str(tmp_path / "code"), str(tmp_path / "old.json"), str(tmp_path / "old.json"))
@@ -185,9 +189,9 @@ def test_skills(spark, small_graph):
     assert skills.parse_command("/explore name --hops 2 --show-code --type=CLASS --ok yes") == (
         "explore", {"target": "name", "entity_name": "name", "query": "name", "hops": 2, "show_code": True, "type": "CLASS", "ok": True})
     text = skills.invoke_skill("/explore helper", small_graph)["output"]
-    assert "### Callers (2)" in text and "- Total entities reachable: 1" in text
+    assert "### callers — 2 of 2" in text and "after 1 hop(s): 0" in text
     text = skills.invoke_skill("/impact helper --depth 2", small_graph)["output"]
-    assert "**2 entity/entities directly call this**" in text and "**Risk Level**: LOW" in text
+    assert "### direct callers — 2 of 2" in text and "risk: LOW" in text
     sources = spark.createDataFrame([("dir/a.py", "\n".join(f"line {i}" for i in range(1, 40)))], "path string, source string")
     text = skills.invoke_skill("/context helper", small_graph, sources)["output"]
     assert "line 25" in text and "line 30" in text and "line 31" not in text
