@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from graphloom.plans.diff import classify, diff_graphs, overlay_edges, overlay_nodes
+from graphloom.graph import Graph
+from graphloom.plans.diff import classify, diff_graphs, fingerprint, overlay_edges, overlay_nodes
 from graphloom.plans.edit_plan import edit_plan
 from graphloom.registry.base import ENTITY_SQL, EDGE_SQL, query
+from graphloom.session import scratch_dir, union_all
+from graphloom.sources.graph_json import read_graph_lines, write_graph_lines
 from graphloom.sources.tables import proposed_graph, table_graph
 
 PROPOSED_SQL = """
@@ -122,6 +127,24 @@ def overlay_edges_query(spark, sf):
     return overlay_edges(versions(spark, sf))
 
 
+@query("graph_lines_round_trip", f"with {ENTITY_SQL}, {EDGE_SQL} select source_id, target_id, type, line_number from relationships")
+def graph_lines_round_trip(spark, sf):
+    """Written as JSON lines and read back; positions, and so first/last rules, survive."""
+    folder = f"{scratch_dir(spark)}/graph-lines/{uuid.uuid4().hex}"
+    write_graph_lines(table_graph(spark, sf), folder)
+    return read_graph_lines(spark, folder).relationships.select("source_id", "target_id", "type", "line_number")
+
+
+@query("graph_hash", over_versions("select 'same' as kind, true as equal union all select 'proposed', count(*) = 0 from changes"))
+def graph_hash(spark, sf):
+    """The digest does not depend on row order, and tells the two versions apart."""
+    graph, proposed = table_graph(spark, sf), proposed_graph(spark, sf)
+    mixed = Graph(graph.entities.orderBy(F.xxhash64("id")), graph.relationships.orderBy(F.xxhash64("ord")))
+    rows = [(kind, fingerprint(other)) for kind, other in (("same", mixed), ("proposed", proposed))]
+    mine = fingerprint(graph).scalar()
+    return union_all([hashed.select(F.lit(kind).alias("kind"), (F.col("fingerprint") == mine).alias("equal")) for kind, hashed in rows])
+
+
 INFER_SQL = """
 , blank as (select entity_id from changes where action = 'added' and file_path = ''),
 containers as (
