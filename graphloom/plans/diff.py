@@ -131,14 +131,15 @@ class ChangeSet:
 
     @cached_property
     def neighbors(self) -> DataFrame:
-        return change_neighbors(self.entities, self.existing.relationships, self.proposed.relationships)
+        return materialize(change_neighbors(self.entities, self.existing.relationships, self.proposed.relationships))
 
     def summary(self) -> DataFrame:
         return change_summary(self.entities, self.relationships)
 
 
 def diff_graphs(existing: Graph, proposed: Graph) -> ChangeSet:
-    return ChangeSet(existing, proposed)
+    """The difference of two graphs; each version is written once, as every part of it is read often."""
+    return ChangeSet(existing.materialized(), proposed.materialized())
 
 
 def change_summary(entity_changes: DataFrame, relationship_changes: DataFrame) -> DataFrame:

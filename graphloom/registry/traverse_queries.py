@@ -154,7 +154,22 @@ def shortest_path_hops(spark, sf):
     return traverse.shortest_path_length(table_graph(spark, sf), "p0", "r4::n9")
 
 
-@query("shortest_path_steps")
+# Read back from the target: of the edges that come from the level before, the one with the lowest
+# position is taken, then the smaller id.
+@query("shortest_path_steps", over_graph("""
+, known as (select ord, source_id, target_id, type from relationships where source_id <> target_id
+    and source_id in (select id from entities) and target_id in (select id from entities)),
+  e2 as (select ord, source_id as a, target_id as c, type from known union all select ord, target_id, source_id, type from known),
+  b as (select 'p0' as id, 0 as hops union select e2.c, hops + 1 from b join e2 on e2.a = b.id where hops < 4),
+  levels as (select id, min(hops) as hops from b group by id),
+  best as (
+    select l.id, l.hops, arg_min({'src': e2.a, 'type': e2.type}, row(e2.ord, e2.a)) as edge
+    from levels l join e2 on e2.c = l.id join levels p on p.id = e2.a and p.hops = l.hops - 1 group by all),
+  walk as (
+    select hops as step, id, edge.type as relationship_type, edge.src as src from best where id = 'r4::n9'
+    union all select best.hops, best.id, best.edge.type, best.edge.src from walk join best on best.id = walk.src)
+select step, id, relationship_type from walk
+union all select 0, 'p0', null where exists (select 1 from walk)"""))
 def shortest_path_steps(spark, sf):
     return traverse.shortest_path(table_graph(spark, sf), "p0", "r4::n9")
 
@@ -174,7 +189,7 @@ COMPONENT_EDGES = "type = 'CALLS'"
     where cc.label < o.label group by e2.c)
 select id, label as component from cc"""))
 def connected_components(spark, sf):
-    graph = table_graph(spark, sf)
+    graph = table_graph(spark, sf).materialized()
     return traverse.connected_components(graph.entities, subgraph.connected_edges(graph).filter(COMPONENT_EDGES))
 
 
@@ -189,6 +204,6 @@ def connected_components(spark, sf):
     where cc.label < o.label group by e2.c)
 select label as component, count(*) as size from cc group by label"""))
 def connected_components_all(spark, sf):
-    graph = table_graph(spark, sf)
+    graph = table_graph(spark, sf).materialized()
     labels = traverse.connected_components(graph.entities, subgraph.connected_edges(graph))
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))

@@ -114,3 +114,13 @@ def test_start_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", program, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "ENTITIES 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_ids_and_relative_paths(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.functions.names import entity_id, relative_path
+
+    rows = spark.createDataFrame([("src/a.py", ["A", "b"]), ("lib/x.py", []), ("src", [])], "path string, scopes array<string>")
+    got = rows.select(entity_id(F.col("path"), F.col("scopes")), relative_path(F.col("path"), "src/")).collect()
+    assert [tuple(r) for r in got] == [("src/a.py::A::b", "a.py"), ("lib/x.py", "lib/x.py"), ("src", "src")]
