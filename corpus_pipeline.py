@@ -30,15 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the base rules and the outlier distance keep.
-
-    The verdict depends on the text, lang and source of a row, so rows that are equal in these fare alike.
-    """
-    rows = _numbered(docs).select("row_key", "text", "lang", "source")
-    rejected = materialize(outliers.judge(rows).filter("not kept").select("row_key").distinct())
-    hashed = _numbered(docs)
-    same = [hashed["row_key"]["doc_id"].eqNullSafe(rejected["row_key"]["doc_id"]), hashed["row_key"]["h"] == rejected["row_key"]["h"]]
-    return hashed.join(rejected, same, "left_anti").select(*docs.columns)
+    """Keep the documents that the base rules and the outlier distance keep."""
+    return outliers.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

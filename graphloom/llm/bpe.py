@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from graphloom.llm.textbytes import Chunk, WordStore, chunks, encode_by_words, mix64, ragged
+from graphloom.llm.textbytes import Chunk, WordStore, chunks, encode_by_words, mix64, ragged, worker_cache
 
 WIDE = 64
 INFINITE = np.int32(2**31 - 1)
@@ -112,7 +112,7 @@ class Vocabulary:
         self.rank_of = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.word_pattern = regex.compile(WORD_PATTERN)
-        self.store = WordStore()
+        self.store = WordStore(1 << 20)
 
     # encoding
 
@@ -272,9 +272,8 @@ class Vocabulary:
         return b"".join(self.token_bytes[ids]).decode("utf-8", "replace")
 
 
-@lru_cache(4)
 def _vocabulary(content: str) -> Vocabulary:
-    return Vocabulary(content)
+    return worker_cache(("vocabulary", hash(content)), lambda: Vocabulary(content))
 
 
 def _texts_with_ids(batches, content: str) -> Iterator[tuple[pa.RecordBatch, Chunk, np.ndarray, np.ndarray]]:

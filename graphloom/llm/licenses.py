@@ -58,7 +58,7 @@ def word_text(text: Column) -> Column:
     ``lower`` also changes letters outside ASCII, which are word characters before and after; the
     two that would become ASCII letters are exchanged for another word character first.
     """
-    kept = F.translate(F.coalesce(text, F.lit("")), "İK", "éé")
+    kept = F.translate(F.coalesce(text, F.lit("")), "\u0130\u212a", "\u00e9\u00e9")
     return F.trim(F.regexp_replace(F.lower(kept), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
 
 

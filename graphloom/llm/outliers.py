@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textbytes import Chunk, chunks, mix64, seeds
+from graphloom.llm.textbytes import Chunk, chunks, mix64, release, seeds
 from graphloom.session import materialize
 
 WINDOW = 8
@@ -114,11 +114,12 @@ def _repeats(value: np.ndarray, row: np.ndarray, own: np.ndarray, rows: int) ->
     return np.bincount(row[again], minlength=rows)
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """Replace ``text`` by its counts; all other columns stay."""
-    kept = [c for c in docs.columns if c != "text" and c not in _COUNTS]
+def document_counts(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """Replace ``text`` by its counts, or add them to it; all other columns stay."""
+    kept = [c for c in docs.columns if (with_text or c != "text") and c not in _COUNTS]
 
     def run(batches):
+        release()
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 counts = text_counts(chunk)
@@ -126,7 +127,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(counts[c].astype(np.int64)) for c in _COUNTS)], [*kept, *_COUNTS])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + [f"{c} long" for c in _COUNTS]
-    return docs.select(*kept, "text").mapInArrow(run, ", ".join(fields))
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, ", ".join(fields))
 
 
 def features() -> list:
@@ -238,21 +239,42 @@ def judge(docs: DataFrame, cutoff_z: float = CUTOFF_Z) -> DataFrame:
     """Add counts, base_failed, distance (squared Mahalanobis; null if base_failed) and kept to the
     rows of ``docs`` (text, lang, source and any others; text itself is left out)."""
     counted = materialize(document_counts(docs))
+    return _judged(counted, _chosen(counted), cutoff_z)
+
+
+def keep(docs: DataFrame, cutoff_z: float = CUTOFF_Z) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns. Texts are counted twice, once
+    for the estimates and once for the verdict, so that none is moved."""
+    chosen = _chosen(materialize(document_counts(docs.select("text", "lang", "source"))))
+    names = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang", "source")}
+    rows = document_counts(docs.select("text", "lang", "source", *[F.col(f"`{c}`").alias(n) for c, n in names.items()]), with_text=True)
+    return _judged(rows, chosen, cutoff_z).filter("kept").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
+def _prepared(counted: DataFrame) -> DataFrame:
+    """Counts with base_failed, the feature vector f and the groups gs, finest first."""
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     levels = F.array(_group_key("lang", "source"), F.concat(_group_key("lang"), F.lit("|*")), F.lit("*"))
-    rows = counted.withColumns({"base_failed": failed, "f": F.array(*features()), "gs": levels})
-    good = rows.filter(~F.col("base_failed"))
+    return counted.withColumns({"base_failed": failed, "f": F.array(*features()), "gs": levels})
+
+
+def _chosen(counted: DataFrame) -> DataFrame:
+    """(gs, centre, white): the estimate of every language and source."""
+    good = _prepared(counted).filter(~F.col("base_failed"))
     found = materialize(estimates(good.select(F.explode("gs").alias("g"), "f"))).filter(F.col("n") >= MIN_GROUP)
     # The finest level with enough documents; in a corpus below that size nothing but the base rules.
     keys = good.select("gs").distinct()
     # Written, so that its real size (one row per language and source) decides how it is joined.
-    chosen = materialize(
+    return materialize(
         keys.select("gs", F.posexplode("gs").alias("level", "g")).join(found, "g", "left")
         .groupBy("gs").agg(F.min_by(F.struct("centre", "white"), F.when(F.col("centre").isNotNull(), F.col("level"))).alias("e"))
         .select("gs", "e.centre", "e.white")
     )
+
+
+def _judged(counted: DataFrame, chosen: DataFrame, cutoff_z: float) -> DataFrame:
     p = len(FEATURES)
-    judged = rows.join(chosen, "gs", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(p)))
+    judged = _prepared(counted).join(chosen, "gs", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(p)))
     cut = _chi2_quantile(p, cutoff_z)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return judged.withColumn("kept", kept).drop("gs", "f", "centre", "white")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.textbytes import Chunk, chunks
+from graphloom.llm.textbytes import Chunk, chunks, release, worker_cache
 from graphloom.session import materialize
 
 MAX_ORDER = 3
@@ -69,6 +69,7 @@ def context_counts(rows: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     plain = np.arange(256, dtype=np.int64) + 1
 
     def run(batches):
+        release()
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             for chunk in chunks(batch.column("text")):
@@ -134,9 +135,6 @@ class Model:
         return symbols, node_of[-1].astype(np.int32), bits.reshape(-1, langs), width
 
 
-_COMPILED: dict = {}
-
-
 def learn(rows: DataFrame, max_order: int = MAX_ORDER) -> Model:
     """Count contexts of (lang, text) rows; the counts that reach the driver are bounded by the sample."""
     counted = context_counts(rows, max_order).toArrow()
@@ -154,10 +152,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        if id(model) not in _COMPILED:
-            _COMPILED.clear()
-            _COMPILED[id(model)] = (model, model.compiled() if model.langs else None)
-        tables = _COMPILED[id(model)][1]
+        _, tables = worker_cache(("ppm", id(model)), lambda: (model, model.compiled() if model.langs else None))
         for batch in batches:
             for chunk in chunks(batch.column("text"), 1 << 20):
                 lettered = chunk.row_sums(_LETTERS[chunk.data]) > 0

@@ -12,13 +12,29 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: Bytes that separate words in every contract of this package: space and \x09 to \x0D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
 
+_SLOT: dict = {}
+
+
+def worker_cache(key, make):
+    """One object per Python worker, kept between tasks; asking for another key drops it, so what
+    one operator has built does not stay in memory while the next one runs."""
+    if key not in _SLOT:
+        _SLOT.clear()
+        _SLOT[key] = make()
+    return _SLOT[key]
+
+
+def release() -> None:
+    _SLOT.clear()
+
+
 def _splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser (public domain): every input bit changes every output bit."""
     x = x.astype(np.uint64, copy=True)

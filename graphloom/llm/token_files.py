@@ -25,23 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import _read, _vocabulary
-from graphloom.llm.textbytes import WordStore, chunks, encode_by_words, ragged
+from graphloom.llm.bpe import Vocabulary, _read, _vocabulary
+from graphloom.llm.textbytes import WordStore, chunks, encode_by_words, ragged, worker_cache
 from graphloom.session import scratch_dir
 
 END_ID = 0
 BLOCK_IDS = 1 << 16
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-_LIBRARY: dict = {}
 
 
 def _library(content: str):
-    """The public library's tokenizer and a store of its results, once per worker."""
+    """The vocabulary's word splitter, the public library's tokenizer and a store of its results."""
     from tokenizers import Tokenizer
 
-    if hash(content) not in _LIBRARY:
-        _LIBRARY[hash(content)] = (Tokenizer.from_str(content), WordStore())
-    return _LIBRARY[hash(content)]
+    return worker_cache(("library", hash(content)), lambda: (Vocabulary(content), Tokenizer.from_str(content), WordStore()))
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -54,7 +51,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
     width = 2 if _vocabulary(content).size <= 1 << 16 else 4
 
     def run(batches):
-        vocabulary, (library, store) = _vocabulary(content), _library(content)
+        vocabulary, library, store = _library(content)
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 start, end, _ = vocabulary.split(chunk)
