@@ -84,6 +84,37 @@ def test_passes_alone_find_the_pairs(spark, vectors, monkeypatch):
     assert vector_passes.passes_for(500, 0.9) == 1 < vector_passes.passes_for(10**5, 0.9) < vector_passes.passes_for(10**9, 0.9) < 500
 
 
+def test_dense_group_keeps_its_links(spark, monkeypatch):
+    """A third of the vectors at pairwise cosine 0.8: their sign prefixes hold far more than a window."""
+    monkeypatch.setattr(vector_passes, "BLOCK", 32)
+    monkeypatch.setattr(vector_passes, "WINDOW", 16)
+    monkeypatch.setattr(vector_passes, "REST_TILE", 128)
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = unit(rng.normal(size=48))
+    beside = rng.normal(size=(700, 48))
+    beside = unit(beside - np.outer(beside @ axis, axis))
+    dense = 0.8**0.5 * axis + 0.2**0.5 * beside
+    turned = rng.normal(size=(100, 48))
+    turned -= np.einsum("ij,ij->i", turned, dense[:100])[:, None] * dense[:100]
+    planted = 0.905 * dense[:100] + (1 - 0.905**2) ** 0.5 * unit(turned)
+    rows = np.concatenate([dense, planted, unit(rng.normal(size=(1400, 48)))])
+    rows = unit(rows)[rng.permutation(len(rows))]
+    near = rows @ rows.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = np.arange(len(rows))
+    for _ in range(len(rows)):
+        low = np.minimum(label, np.where(near, label[None, :], len(rows)).min(1))
+        if (low == label).all():
+            break
+        label = low
+    assert near.sum() >= 200
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    few = vector_passes.near_duplicates(frame, passes=vector_passes.passes_for(len(rows), 0.9, 16))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in few.collect()}
+    assert got == {i: (int(near[i].sum()), int(label[i])) for i in range(len(rows))}
+
+
 def plain_targets(per):
     """Share by weight, stop at three times the source, share the rest again."""
     order = sorted((s for s in per if s is not None)) + ([None] if None in per else [])
