@@ -35,15 +35,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of every group of near duplicates; of rows that share an id one stays."""
-    classes = materialize(icws.near_duplicates(docs))
-    gone = classes.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    repeated = classes.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    """Keep one document of every group of near duplicates; of rows that share id and text one stays.
+
+    Classes are of texts, so a row is judged by its id and text: another text of the same id has its
+    own class. Rows without an id are kept.
+    """
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    keyed = docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), key))
+    classes = materialize(icws.near_duplicates(keyed.select("row_key", "text"), key="row_key"))
+    gone = classes.filter("not kept").select(F.col("row_key").alias("gone")).distinct()
+    kept = keyed.join(gone, F.col("row_key") == F.col("gone"), "left_anti")
+    repeated = classes.filter("kept and row_key is not null").groupBy("row_key").count().filter("count > 1")
     if not repeated.take(1):
-        return kept
-    once = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.filter("doc_id is null"))
+        return kept.select(*docs.columns)
+    once = kept.filter("row_key is not null").dropDuplicates(["row_key"])
+    return once.unionByName(kept.filter("row_key is null")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,3 +195,16 @@ def test_pipeline(spark, tmp_path):
     nothing = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_judges_rows_not_ids(spark):
+    """Id 7 holds a copy of 3's text and a text that represents 9; id 8 holds two texts of their own."""
+    import corpus_pipeline as p
+
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(3, words[0]), (7, words[0]), (7, words[1]), (9, words[1]), (8, words[2]), (8, words[3]), (8, words[3]), (None, words[4]), (None, words[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.near_dedup(spark, docs, "")
+    assert kept.columns == p.COLUMNS
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()))
+    assert got == sorted([(3, words[0]), (7, words[1]), (8, words[2]), (8, words[3]), (0, words[4]), (0, words[4])])
