@@ -318,6 +318,15 @@ def test_pages(spark):
     assert page_diff.extract(docs.limit(0)).count() == 0
 
 
+def test_page_behind_a_run_of_copies(spark):
+    """The only other page of the host lies behind more copies than a page has neighbours."""
+    slogan = "<div class='box'>Buy now at our shop</div>"
+    rows = [(i, f"http://h.com/en/a{i:02}", page("told again", slogan, f"<nav>{i}</nav>", wrap=False)) for i in range(12)]
+    rows.append((20, "http://h.com/en/z", page("another story", slogan, wrap=False)))
+    got = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: "told again" for i in range(12)} | {20: "another story"}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
 def test_common_lines(a, b):
