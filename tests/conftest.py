@@ -1,6 +1,7 @@
 import pytest
 
-from graphloom.graph import Graph, complete_entities, complete_relationships
+from graph_helpers import make_graph
+from graphloom.graph import Graph
 from graphloom.session import build_session
 
 
@@ -15,18 +16,6 @@ def spark():
     return session
 
 
-def make_graph(spark, entities, edges) -> Graph:
-    """Entities (id, name, type, file, line, end) and edges (source, target, type, line), in order."""
-    rows = [(i, *e) for i, e in enumerate(entities)]
-    links = [(i, *e) for i, e in enumerate(edges)]
-    return Graph(
-        complete_entities(spark.createDataFrame(
-            rows, "ord long, id string, name string, type string, file_path string, line_number int, end_line int")),
-        complete_relationships(spark.createDataFrame(
-            links, "ord long, source_id string, target_id string, type string, line_number int")),
-    )
-
-
 @pytest.fixture(scope="session")
 def small_graph(spark):
     """Two files, one class with a method, two callers of one helper."""
@@ -58,7 +47,3 @@ def build(spark):
         return build_graph(spark.createDataFrame(list(files.items()), "path string, content string"), **kwargs)
 
     return run
-
-
-def pairs(df, *columns):
-    return {tuple(r) for r in df.select(*columns).collect()}

@@ -1,6 +1,6 @@
 import json
 
-from conftest import pairs
+from graph_helpers import pairs
 from graphloom.operators.extract import parsed_entities, parsed_relationships, syntax_facts
 
 SHAPES = '''"""Module text."""

@@ -1,4 +1,4 @@
-from conftest import pairs
+from graph_helpers import pairs
 from graphloom.operators import resolve
 
 

@@ -5,7 +5,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import pairs
+from graph_helpers import pairs
 from graphloom.operators import resolve
 from graphloom.operators.context import code_slices
 from graphloom.operators.extract import parse_errors, parsed_entities, syntax_facts

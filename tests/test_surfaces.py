@@ -2,7 +2,7 @@ import json
 import os
 
 import pytest
-from conftest import make_graph, pairs
+from graph_helpers import make_graph, pairs
 from graphloom.operators import edit
 from graphloom.plans.diff import diff_graphs, fingerprint, has_changes
 from graphloom.plans.render import change_spec, change_spec_dict, read_change_spec, write_change_spec

@@ -2,7 +2,7 @@ import random
 from collections import deque
 
 import pytest
-from conftest import make_graph, pairs
+from graph_helpers import make_graph, pairs
 from graphloom.operators import traverse
 
 
