@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, icws, licenses, merkle, mixing, outliers, page_diff, ppm, token_files, vector_passes
+from graphloom.llm import bpe, dialogue_repair, icws, licenses, merkle, mixing, outliers, page_diff, ppm, token_files, vector_passes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,9 @@ def op9_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return dialogue_repair.repair(dialogue_repair.damaged(rows), rows)
