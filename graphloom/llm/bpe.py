@@ -5,8 +5,8 @@ a chunk is one row of two dense arrays: the tokens between its part boundaries a
 every adjacent pair. A round finds the smallest rank of each row, replaces the left part by the
 merged token, deletes the boundary behind it (the rest of the row moves left by one) and refreshes
 the two neighbouring ranks. Rows whose smallest rank is infinite are finished. Words are grouped by
-length, so the arrays stay narrow; words of more than ``WIDE`` bytes go through the same steps one
-at a time in a heap-free scan over a Python list.
+length, so the arrays stay narrow. A word of more than ``WIDE`` bytes keeps its boundaries in place,
+linked to their neighbours, and a heap of ranks stands for the scan, so its cost is n log n.
 
 Results: null text counts as empty (no ids). Special tokens in the text become their id, as the
 public library does by default. Invalid byte sequences decode to U+FFFD.
@@ -15,6 +15,7 @@ public library does by default. Invalid byte sequences decode to U+FFFD.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -89,7 +90,7 @@ class PairTable:
 class Vocabulary:
     """A byte-level BPE file of the public tokenizers format, read once per worker."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, with_specials: bool = True):
         spec = json.loads(content)
         model, symbols = spec["model"], byte_symbols()
         to_byte = {s: b for b, s in enumerate(symbols)}
@@ -111,33 +112,44 @@ class Vocabulary:
         )
         self.rank_of = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        if not with_specials:  # their texts are plain text then
+            self.specials, self.special_pattern = {}, None
         self.word_pattern = regex.compile(WORD_PATTERN)
         self.store = WordStore(1 << 20)
 
     # encoding
 
     def encode_wide(self, word: bytes) -> list[int]:
-        """One word with boundaries and ranks in plain lists; used for very long words."""
-        parts = [int(self.byte_ids[b]) for b in word]
+        """One long word: the pair of smallest rank (of equal ones the leftmost) merges, its boundary
+        is deleted and the two neighbouring ranks are refreshed. Old ranks are left in the heap and
+        skipped when they come up."""
+        parts = self.byte_ids[np.frombuffer(word, np.uint8)]
+        n = len(parts)
+        ranks, merged = self.pairs.find(parts[:-1].astype(np.int64), parts[1:].astype(np.int64))
+        at = np.flatnonzero(ranks != INFINITE)
+        heap = (ranks[at].astype(np.int64) << 32 | at).tolist()
+        heapq.heapify(heap)
+        parts, ranks, merged = parts.tolist(), [*ranks.tolist(), int(INFINITE)], [*merged.tolist(), 0]
+        behind, before = list(range(1, n + 1)), list(range(-1, n - 1))
         none = (int(INFINITE), 0)
-        ranks = [self.rank_of.get(p, none) for p in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best[0] == INFINITE:
-                break
-            # Equal pairs share the smallest rank: merge them all in one sweep, left to right.
-            out: list[int] = []
-            i = 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i][0] == best[0]:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-            ranks = [self.rank_of.get(p, none) for p in zip(parts, parts[1:])]
-        return parts
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            if ranks[i] != top >> 32:
+                continue
+            gone = behind[i]
+            parts[i], parts[gone], ranks[gone] = merged[i], -1, int(INFINITE)
+            behind[i] = after = behind[gone]
+            if after < n:
+                before[after] = i
+            for left, right in ((before[i], i), (i, after)):
+                if left >= 0 and (right < n or left != i):
+                    ranks[left], merged[left] = self.rank_of.get((parts[left], parts[right]), none)
+                    if ranks[left] != INFINITE:
+                        heapq.heappush(heap, ranks[left] << 32 | left)
+            if after >= n:
+                ranks[i] = int(INFINITE)
+        return [p for p in parts if p >= 0]
 
     def encode_words(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, ids per word)."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textbytes import Chunk, chunks, mix64, release, seeds
+from graphloom.llm.textbytes import Chunk, chunks, exact_numbers, mix64, release, seeds
 from graphloom.session import materialize
 
 WINDOW = 8
@@ -53,7 +53,6 @@ def text_counts(chunk: Chunk) -> dict[str, np.ndarray]:
     """The counts of every row of a chunk."""
     data, rows = chunk.data, chunk.rows
     start, end, row = chunk.words()
-    hashed = chunk.hasher() if len(data) else None
     solid = np.zeros(len(data), bool)
     if len(start):
         edges = np.zeros(len(data) + 1, np.int8)
@@ -71,7 +70,6 @@ def text_counts(chunk: Chunk) -> dict[str, np.ndarray]:
     }
     if not len(start):
         return counts
-    own = mix64(np.arange(rows, dtype=np.uint64) + np.uint64(1))
     # Lines that hold a word; equal ones of a text meet in the sort.
     breaks = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate([chunk.offsets[:-1][np.diff(chunk.offsets) > 0], breaks + 1]))
@@ -82,22 +80,14 @@ def text_counts(chunk: Chunk) -> dict[str, np.ndarray]:
     line_start, line_end = line_start[held], line_end[held]
     line_row = chunk.row_of(line_start)
     counts["n_lines"] = np.bincount(line_row, minlength=rows)
-    counts["n_dup_lines"] = _repeats(hashed(line_start, line_end), line_row, own, rows)
+    counts["n_dup_lines"] = _repeats(exact_numbers(chunk, line_start, line_end), line_row, rows)
     # Windows of eight words of one text, found again in it.
-    word = hashed(start, end)
+    word = exact_numbers(chunk, start, end)
     counts["n_echoes"] = np.bincount(row[1:][(word[1:] == word[:-1]) & (row[1:] == row[:-1])], minlength=rows)
     n = len(start) - WINDOW + 1
     if n > 0:
-        combined = np.zeros(n, np.uint64)
-        for k, seed in enumerate(seeds(WINDOW, 21)):
-            combined += word[k : k + n] * seed
         whole = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
-        key = mix64(mix64(combined[whole]) ^ own[row[whole]])
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(whole), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        twice = _found_twice(word, row, whole)
         cover = np.zeros(len(start) + 1, np.int32)
         np.add.at(cover, whole[twice], 1)
         np.add.at(cover, whole[twice] + WINDOW, -1)
@@ -106,12 +96,36 @@ def text_counts(chunk: Chunk) -> dict[str, np.ndarray]:
     return counts
 
 
-def _repeats(value: np.ndarray, row: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
-    """Per row the number of values equal to an earlier one of the row."""
-    key = mix64(value ^ own[row])
+def _found_twice(word: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the window of words that begins at each of ``at`` begins elsewhere in its text too.
+
+    A hash brings equal windows together; the words themselves decide.
+    """
+    def parts(which: np.ndarray) -> list[np.ndarray]:
+        return [row[which], *(word[which + k] for k in range(WINDOW))]
+
+    key = np.zeros(len(at), np.uint64)
+    for column, seed in zip(parts(at), seeds(WINDOW + 1, 21)):
+        key = mix64(key + column.astype(np.uint64) * seed)
     order = np.argsort(key)
-    again = order[1:][key[order][1:] == key[order][:-1]]
-    return np.bincount(row[again], minlength=rows)
+    meets = key[order][1:] == key[order][:-1]
+    one, next_ = at[order[:-1][meets]], at[order[1:][meets]]
+    if not all((a == b).all() for a, b in zip(parts(one), parts(next_))):
+        # Different windows share a hash: sort by the words.
+        columns = parts(at)
+        order = np.lexsort(columns)
+        meets = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][meets]] = True
+    twice[order[:-1][meets]] = True
+    return twice
+
+
+def _repeats(value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Per row the number of values equal to an earlier one of the row."""
+    key = np.sort(value * rows + row)
+    again = key[1:][key[1:] == key[:-1]]
+    return np.bincount(again % rows, minlength=rows)
 
 
 def document_counts(docs: DataFrame, with_text: bool = False) -> DataFrame:

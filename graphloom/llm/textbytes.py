@@ -142,32 +142,79 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + shift
 
 
+def same_ranges(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a[a_at : a_at + length] equals b[b_at : b_at + length], for each range.
+
+    Short ranges are compared eight bytes at a time; both arrays need eight spare bytes at the end.
+    """
+    same = np.ones(len(length), bool)
+    view = lambda x: np.ndarray((len(x) - 7,), np.uint64, x.data, strides=(1,))
+    left, right = view(a), view(b)
+    rows = np.arange(len(length))
+    for k in range(0, 64, 8):
+        rows = rows[length[rows] > k]
+        if not len(rows):
+            return same
+        unused = (8 * np.maximum(8 - (length[rows] - k), 0)).astype(np.uint64)
+        same[rows] &= (left[a_at[rows] + k] ^ right[b_at[rows] + k]) << unused == 0
+    for row in rows[length[rows] > 64]:
+        n = length[row]
+        same[row] = same[row] and np.array_equal(a[a_at[row] : a_at[row] + n], b[b_at[row] : b_at[row] + n])
+    return same
+
+
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(8, np.uint8)])
+
+
+def exact_numbers(chunk: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number per byte range, equal for equal bytes only: hashes find, the bytes decide."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    _, first, number = np.unique(chunk.hasher()(start, end), return_index=True, return_inverse=True)
+    data, length, model = padded(chunk.data), end - start, first[number]
+    good = length == length[model]
+    good[good] = same_ranges(data, start[good], data, start[model[good]], length[good])
+    other: dict[bytes, int] = {}
+    for i in np.flatnonzero(~good):
+        number[i] = other.setdefault(chunk.data[start[i] : end[i]].tobytes(), len(first) + len(other))
+    return number
+
+
 class WordStore:
-    """Ids of words by 64-bit hash, kept between chunks of a worker; emptied when ``limit`` is reached.
+    """Ids of words, kept between chunks of a worker; emptied when ``limit`` words or
+    ``BYTE_LIMIT`` bytes are reached.
 
-    Only a store of computed values: a word that is not (or no longer) in it is encoded again.
+    A 64-bit hash finds a word and its bytes decide: words that share a hash with another one are
+    kept aside under their bytes. Only a store of computed values: a word that is not (or no
+    longer) in it is encoded again.
     """
 
+    BYTE_LIMIT = 1 << 26
+
     def __init__(self, limit: int = 1 << 21):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.words = self.used = 0
+        self.words = self.used = self.used_bytes = 0
+        self.odd: dict[bytes, int] = {}
         self._room(1 << 14)
         self.ids = np.zeros(1 << 16, np.int32)
+        self.bytes = np.zeros(1 << 16, np.uint8)
 
     def _room(self, words: int) -> None:
         """Space for that many words; what is held stays."""
         old = self.words
-        hashes = self.hashes[:old] if old else np.zeros(0, np.uint64)
-        self.hashes, place, count = (np.zeros(words, t) for t in (np.uint64, np.int64, np.int32))
-        self.hashes[:old] = hashes
-        if old:
-            place[:old], count[:old] = self.place[:old], self.count[:old]
-        self.place, self.count = place, count
+        held = [getattr(self, c)[:old] for c in ("hashes", "place", "count", "byte_at", "size")] if old else []
+        self.hashes, self.place, self.count, self.byte_at, self.size = (
+            np.zeros(words, t) for t in (np.uint64, np.int64, np.int32, np.int64, np.int64)
+        )
+        for column, values in zip(("hashes", "place", "count", "byte_at", "size"), held):
+            getattr(self, column)[:old] = values
         self.slots = np.full(1 << (2 * words - 1).bit_length(), -1, np.int32)
-        self._insert(np.arange(old, dtype=np.int32))
+        aside = np.fromiter(self.odd.values(), np.int64, len(self.odd))
+        self._insert(np.setdiff1d(np.arange(old), aside).astype(np.int32))
 
     def _insert(self, number: np.ndarray) -> None:
         mask = len(self.slots) - 1
@@ -178,8 +225,8 @@ class WordStore:
             lost = self.slots[slot] != number
             number, slot = number[lost], (slot[lost] + 1) & mask
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Number of each word, -1 if unknown."""
+    def by_hash(self, key: np.ndarray) -> np.ndarray:
+        """Number of a word with each hash, -1 if there is none."""
         mask = len(self.slots) - 1
         slot = (key & np.uint64(mask)).astype(np.int64)
         at = self.slots[slot]
@@ -190,38 +237,75 @@ class WordStore:
             again = again[(at[again] >= 0) & (self.hashes[at[again]] != key[again])]
         return at
 
-    def add(self, key: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """Distinct new words with their ids one after another; the caller keeps to ``limit``."""
+    def find(self, key: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Number of each word (hash, and its bytes in the padded ``data``), -1 if unknown."""
+        at = self.by_hash(key)
+        hit = np.flatnonzero(at >= 0)
+        good = self.size[at[hit]] == size[hit]
+        alike = hit[good]
+        good[good] = same_ranges(data, start[alike], self.bytes, self.byte_at[at[alike]], size[alike])
+        for i in hit[~good]:
+            at[i] = self.odd.get(data[start[i] : start[i] + size[i]].tobytes(), -1)
+        return at
+
+    def add(self, key, data, start, size, ids, count, aside: bool = False) -> None:
+        """Distinct new words with their ids one after another; the caller keeps to ``limit``.
+        ``aside`` is for words whose hash another word has."""
         if self.words + len(key) > len(self.hashes):
             self._room(1 << (self.words + len(key) - 1).bit_length())
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        total = int(size.sum())
+        while self.used_bytes + total + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
         number = np.arange(self.words, self.words + len(key), dtype=np.int32)
         self.ids[self.used : self.used + len(ids)] = ids
-        self.hashes[number] = key
+        self.bytes[self.used_bytes : self.used_bytes + total] = data[ragged(start, size)]
+        self.hashes[number], self.count[number], self.size[number] = key, count, size
         self.place[number] = self.used + np.cumsum(count) - count
-        self.count[number] = count
-        self.words, self.used = self.words + len(key), self.used + len(ids)
-        self._insert(number)
+        self.byte_at[number] = self.used_bytes + np.cumsum(size) - size
+        self.words, self.used, self.used_bytes = self.words + len(key), self.used + len(ids), self.used_bytes + total
+        if aside:
+            for i, n in enumerate(number):
+                self.odd[data[start[i] : start[i] + size[i]].tobytes()] = int(n)
+        else:
+            self._insert(number)
 
 
-def encode_by_words(chunk: Chunk, start: np.ndarray, end: np.ndarray, store: WordStore, encode_new) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all rows one after another, ids per row), where ``encode_new(words)`` is asked for
-    the ids of words (numbers into start/end) that the store does not hold yet."""
-    key = chunk.hasher()(start, end)
-    number = store.find(key)
+def word_numbers(chunk: Chunk, start: np.ndarray, end: np.ndarray, store: WordStore, encode_new) -> np.ndarray:
+    """Number in ``store`` of each word, where ``encode_new(words)`` is asked for the ids (and ids per
+    word) of words (numbers into start/end) that the store does not hold yet."""
+    key, size, data = chunk.hasher()(start, end), end - start, padded(chunk.data)
+
+    def learn(words: np.ndarray, aside: bool) -> None:
+        ids, count = encode_new(words)
+        store.add(key[words], data, start[words], size[words], ids, count, aside)
+
+    number = store.find(key, data, start, size)
     unknown = np.flatnonzero(number < 0)
-    if len(unknown):
-        fresh, first = np.unique(key[unknown], return_index=True)
-        if store.words + len(fresh) > store.limit:
-            store.clear()
-            fresh, first = np.unique(key, return_index=True)
-            unknown = np.arange(len(key))
-        if len(fresh) > store.limit:  # one very long text: a larger store for it
-            store.limit = 1 << int(len(fresh)).bit_length()
-        ids, count = encode_new(unknown[first])
-        store.add(fresh, ids, count)
-        number = store.find(key)
+    if not len(unknown):
+        return number
+    fresh = unknown[np.unique(key[unknown], return_index=True)[1]]
+    if store.words + len(unknown) > store.limit or store.used_bytes + int(size[fresh].sum()) > store.BYTE_LIMIT:
+        store.clear()
+        unknown = np.arange(len(key))
+        fresh = np.unique(key, return_index=True)[1]
+        store.limit = max(store.limit, 1 << int(len(fresh)).bit_length())  # one very long text: a larger store for it
+    learn(fresh[store.by_hash(key[fresh]) < 0], False)
+    number[unknown] = store.find(key[unknown], data, start[unknown], size[unknown])
+    left = unknown[number[unknown] < 0]
+    if len(left):
+        distinct: dict[bytes, int] = {}
+        for i in left:
+            distinct.setdefault(data[start[i] : end[i]].tobytes(), i)
+        learn(np.array(list(distinct.values())), True)
+        number[left] = store.find(key[left], data, start[left], size[left])
+    return number
+
+
+def encode_by_words(chunk: Chunk, start: np.ndarray, end: np.ndarray, store: WordStore, encode_new) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rows one after another, ids per row)."""
+    number = word_numbers(chunk, start, end, store, encode_new)
     count = store.count[number].astype(np.int64)
     flat = store.ids[ragged(store.place[number], count)]
     per_row = np.bincount(chunk.row_of(start), weights=count, minlength=chunk.rows).astype(np.int64)

@@ -347,3 +347,50 @@ def test_page_markup():
     )
     assert [t for t, cut, _ in lines if not cut] == ["Hi there é", "tail", "a", "b", "1", "2", "T", "x"]
     assert [t for t, _, main in lines if main] == ["T", "x", "zz"]
+
+
+def _colliding_words():
+    """Two different words of 1,024 letters that any polynomial hash modulo 2**64 maps to one value."""
+    sign = [0]
+    for _ in range(10):
+        sign += [1 - s for s in sign]
+    return "".join("ab"[s] for s in sign), "".join("ba"[s] for s in sign)
+
+
+def test_words_that_share_a_hash(spark, library):
+    x, y = _colliding_words()
+    chunk = next(chunks(pa.array([f"{x} {y}"])))
+    start, end, _ = chunk.words()
+    assert len(set(chunk.hasher()(start, end))) == 1
+    texts = [f"{x} {y} {x} {y}", f"{y} end {x}", f"{x}\n{y}\n{x}", f"{y} {x} " + " ".join([*"abcdef", x, *"abcdef", y])]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1)
+    for row in bpe.digests(docs, tokenizer_path()).collect():
+        ids = library.encode(texts[row.doc_id], add_special_tokens=False).ids
+        assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+    for row in token_files.file_digests(docs, tokenizer_path()).collect():
+        ids = np.array([*library.encode(texts[row.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert row.ids_crc32 == zlib.crc32(ids.tobytes())
+    counts = {r.doc_id: r for r in outliers.document_counts(docs).collect()}
+    assert [counts[i].n_dup_lines for i in range(4)] == [0, 0, 1, 0]
+    assert [counts[i].n_repeat_words for i in range(4)] == [0, 0, 0, 0]
+
+
+def test_long_words_and_texts_above_a_chunk(spark, library):
+    import random
+    import time
+
+    rng = random.Random(3)
+    letters = "".join(rng.choice("etaoinshr") for _ in range(1 << 20))
+    for word in ("ab" * 40_000, "a" * 70_000 + "b", letters[:200_000], letters):
+        began = time.time()
+        own = [int(i) for chunk in chunks(pa.array([word])) for i in bpe._vocabulary(bpe._read(tokenizer_path())).encode_chunk(chunk)[0]]
+        assert own == library.encode(word, add_special_tokens=False).ids
+        assert time.time() - began < 60
+    text = " ".join(letters[i : i + 5] for i in range(0, len(letters), 5)) + "\nsame line\nsame line"
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, "short", "en", "s")], "doc_id long, text string, lang string, source string")
+    ids = library.encode(text, add_special_tokens=False).ids
+    got = {r.doc_id: r for r in bpe.digests(docs, tokenizer_path()).collect()}
+    assert got[1].n_tokens == len(ids) and got[1].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    counts = {r.doc_id: r for r in outliers.document_counts(docs).collect()}
+    assert counts[1].n_words == len(words(text)) and counts[1].n_dup_lines == 1
