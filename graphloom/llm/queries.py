@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, dialogue_repair, icws, licenses, merkle, mixing, outliers, page_diff, ppm, token_align, token_files, vector_passes
+from graphloom.llm import bpe, context_mixing, dialogue_repair, icws, licenses, merkle, mixing, outliers, page_diff, ppm, token_align, token_files, vector_passes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,6 +158,11 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.extract(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
