@@ -9,7 +9,7 @@ chunk of texts take a step together, so a step is a few array operations.
 
 Links are the pairs of an A and a B token with overlapping bytes. How often an id pair is linked in
 the whole corpus is one grouping; per text the counts are looked up again: the ``FREQUENT`` most
-frequent pairs, a bounded table, travel with the task, all other links are joined by pair.
+frequent pairs, a bounded table, are broadcast, all other links are joined by pair.
 
 Results: a null or empty text, and one whose joined tokens differ from space + text (such as one
 that holds U+2581), has no tokens: zeros and empty groups. Every row of ``docs`` gives one row.
@@ -18,6 +18,7 @@ that holds U+2581), has no tokens: zeros and empty groups. Every row of ``docs``
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from graphloom.llm.textbytes import Chunk, WordStore, chunks, encode_by_words, r
 from graphloom.session import materialize
 
 FREQUENT = 1 << 18
+#: Bytes of text that are aligned together.
+CHUNK = 1 << 18
 MARK = "▁"
 
 
@@ -46,7 +49,7 @@ class Pieces:
         self.decimal = [str(i) for i in range(self.size)]
         self.whole_runs = all(MARK not in p.lstrip(MARK) and "\n" not in p for p in map(self.model.id_to_piece, range(self.size)))
         self.lone_space = self.model.encode("\n")[0]
-        self.store = WordStore(1 << 20)
+        self.store = WordStore(1 << 19)
 
     def _bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
@@ -54,15 +57,32 @@ class Pieces:
             return bytes([int(piece[3:5], 16)])
         return piece.replace(MARK, " ").encode()
 
-    def encode_runs(self, runs: list[bytes]) -> list[list[int]]:
-        """Ids of each run; [-1] where they do not spell it."""
+    def encode_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs, ids per run); a run that its ids do not spell has the id -1."""
         # The model adds one space in front: it stands for a run's first one, or is taken off again.
-        texts = [(r[1:] if r[:1] == b" " else r).decode("utf-8", "surrogatepass") for r in runs]
-        found = []
-        for run, ids in zip(runs, self.model.encode(texts, num_threads=1)):
-            ids = [self.lone_space] if run == b" " else ids if run[:1] == b" " else ids[1:]
-            found.append(ids if b"".join(map(self.token_bytes.__getitem__, ids)) == run else [-1])
-        return found
+        led = np.array([r[0] == 32 for r in runs])
+        texts = [(r[1:] if spaced else r).decode("utf-8", "surrogatepass") for r, spaced in zip(runs, led)]
+        found = [ids or [self.lone_space] for ids in self.model.encode(texts, num_threads=1)]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
+        begin = np.cumsum(count) - count
+        keep = np.ones(len(flat), bool)
+        keep[begin[~led]] = False
+        flat, count = flat[keep], count - ~led
+        row = np.repeat(np.arange(len(runs)), count)
+        right = np.bincount(row, self.lengths[flat], len(runs)) == np.fromiter(map(len, runs), np.int64, len(runs))
+        spelled = b"".join(map(self.token_bytes.__getitem__, flat.tolist()))
+        if not right.all() or spelled != b"".join(runs):
+            begin = np.cumsum(count) - count
+            for i, run in enumerate(runs):
+                right[i] = b"".join(map(self.token_bytes.__getitem__, flat[begin[i] : begin[i] + count[i]].tolist())) == run
+            wrong = np.flatnonzero(~right[row])
+            first = np.unique(row[wrong], return_index=True)[1]
+            flat[wrong[first]] = -1
+            keep = right[row]
+            keep[wrong[first]] = True
+            flat, count = flat[keep], np.where(right, count, 1)
+        return flat, count
 
     def encode_chunk(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids per row) of texts that begin with a space; -1 where B departs."""
@@ -78,9 +98,8 @@ class Pieces:
         end = np.append(start[1:], len(data))
 
         def encode_new(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ids = self.encode_runs([data[start[i] : end[i]].tobytes() for i in which])
-            count = np.array([len(x) for x in ids])
-            return np.concatenate([np.array(x, np.int32) for x in ids]), count
+            raw = data.tobytes()
+            return self.encode_runs([raw[a:b] for a, b in zip(start[which].tolist(), end[which].tolist())])
 
         return encode_by_words(chunk, start, end, self.store, encode_new)
 
@@ -88,6 +107,7 @@ class Pieces:
 class _Tokenizers:
     def __init__(self, a_content: str, b_content: bytes):
         self.a, self.b = Vocabulary(a_content, with_specials=False), Pieces(b_content)
+        self.a.store.limit = self.b.store.limit
         self.a_lengths = np.array([len(x) for x in self.a.token_bytes])
         spelled = lambda decimal, mark: np.array([d + mark for d in decimal], object)
         self.a_texts = [spelled(self.a.decimal, m) for m in ",|"]
@@ -100,39 +120,55 @@ def shared_cuts(a_end: np.ndarray, b_end: np.ndarray, intervals: np.ndarray) ->
 
     ``a_end`` and ``b_end`` are the ascending byte ends of all tokens.
     """
-    live, tested = intervals, np.full(intervals.shape[1], -1)  # tested: radius that was searched
     leaves = []
-    while live.shape[1]:
-        divisible = (live[1] - live[0] > 1) & (live[3] - live[2] > 1)
-        leaves.append(live[:, ~divisible])
-        live, tested = live[:, divisible], tested[divisible]
-        low, high = live[0], live[1] - 2  # the ends inside the interval
-        begin = np.where(low > 0, a_end[low - 1], 0)
-        middle = np.clip(np.searchsorted(a_end, (begin + a_end[high + 1]) // 2), low, high)
-        radius = np.where(tested < 0, 0, np.maximum(2 * tested, 1))
-        left, right = np.maximum(middle - radius, low), middle + np.maximum(tested, 0) + 1
-        n_left, n_right = np.maximum(middle - tested - left, 0), np.maximum(np.minimum(middle + radius, high) + 1 - right, 0)
-        candidate = np.concatenate([ragged(left, n_left), ragged(right, n_right)])
-        owner = np.concatenate([np.repeat(np.arange(live.shape[1]), n) for n in (n_left, n_right)])
-        found = np.searchsorted(b_end, a_end[candidate])
-        hit = np.flatnonzero(b_end[found] == a_end[candidate])
-        # Of several shared ends the nearest to the middle, of two the left one.
-        hit = hit[np.lexsort((candidate[hit], np.abs(candidate[hit] - middle[owner[hit]]), owner[hit]))]
-        own, nearest = np.unique(owner[hit], return_index=True)
-        a_cut, b_cut = candidate[hit[nearest]] + 1, found[hit[nearest]] + 1
-        whole = live[:, own]
-        halves = np.concatenate([np.stack([whole[0], a_cut, whole[2], b_cut]), np.stack([a_cut, whole[1], b_cut, whole[3]])], 1)
-        missed = np.ones(live.shape[1], bool)
-        missed[own] = False
-        exhausted = missed & (middle - radius <= low) & (middle + radius >= high)
-        leaves.append(live[:, exhausted])
-        missed &= ~exhausted
-        live = np.concatenate([halves, live[:, missed]], 1)
-        tested = np.concatenate([np.full(halves.shape[1], -1), radius[missed]])
-    groups = np.concatenate(leaves, 1) if leaves else intervals
+
+    def divisible(parts: np.ndarray) -> np.ndarray:
+        many = (parts[1] - parts[0] > 1) & (parts[3] - parts[2] > 1)
+        leaves.append(parts[:, ~many])
+        return parts[:, many]
+
+    def halves(parts: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> np.ndarray:
+        left, right = np.stack([parts[0], a_cut, parts[2], b_cut]), np.stack([a_cut, parts[1], b_cut, parts[3]])
+        return np.concatenate([left, right], 1)
+
+    fresh = divisible(intervals)
+    waiting, tested = fresh[:, :0], np.zeros(0, np.int64)  # intervals without a shared end within that radius
+    while fresh.shape[1] or waiting.shape[1]:
+        middle = (fresh[0] + fresh[1] - 2) // 2
+        found = np.searchsorted(b_end, a_end[middle])
+        hit = b_end[found] == a_end[middle]
+        split, missed = halves(fresh[:, hit], middle[hit] + 1, found[hit] + 1), fresh[:, ~hit]
+        wide, a_cut, b_cut, waiting, tested, spent = _widen(a_end, b_end, waiting, tested)
+        leaves.append(spent)
+        fresh = divisible(np.concatenate([split, halves(wide, a_cut, b_cut)], 1))
+        waiting = np.concatenate([waiting, missed], 1)
+        tested = np.concatenate([tested, np.zeros(missed.shape[1], np.int64)])
+    groups = np.concatenate(leaves, 1)
     return groups[:, np.argsort(groups[0])]
 
 
+def _widen(a_end: np.ndarray, b_end: np.ndarray, parts: np.ndarray, tested: np.ndarray):
+    """Search twice as far around the middles: (intervals with a shared end, its place in A and in B,
+    those that go on, their radius, those without any)."""
+    low, high = parts[0], parts[1] - 2  # the ends inside the interval
+    middle = (low + high) // 2
+    radius = np.maximum(2 * tested, 1)
+    left, right = np.maximum(middle - radius, low), middle + tested + 1
+    n_left, n_right = np.maximum(middle - tested - left, 0), np.maximum(np.minimum(middle + radius, high) + 1 - right, 0)
+    candidate = np.concatenate([ragged(left, n_left), ragged(right, n_right)])
+    owner = np.concatenate([np.repeat(np.arange(parts.shape[1]), n) for n in (n_left, n_right)])
+    found = np.searchsorted(b_end, a_end[candidate])
+    hit = np.flatnonzero(b_end[found] == a_end[candidate])
+    # Of several shared ends the nearest to the middle, of two the left one.
+    hit = hit[np.lexsort((candidate[hit], np.abs(candidate[hit] - middle[owner[hit]]), owner[hit]))]
+    own, nearest = np.unique(owner[hit], return_index=True)
+    missed = np.ones(parts.shape[1], bool)
+    missed[own] = False
+    spent = missed & (middle - radius <= low) & (middle + radius >= high)
+    missed &= ~spent
+    return parts[:, own], candidate[hit[nearest]] + 1, found[hit[nearest]] + 1, parts[:, missed], radius[missed], parts[:, spent]
+
+
 def _with_space(chunk: Chunk) -> Chunk:
     offsets = chunk.offsets + np.arange(chunk.rows + 1)
     data = np.full(int(offsets[-1]), 32, np.uint8)
@@ -193,7 +229,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = False)
         tokenizers = worker_cache(("align", hash(a_content), hash(b_content)), lambda: _Tokenizers(a_content, b_content))
         small = len(tokenizers.a.token_bytes) * tokenizers.b.size < 1 << 31
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), CHUNK):
                 found = _aligned(chunk, tokenizers)
                 digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in found["texts"]]
                 offsets = pa.array(np.append(0, np.cumsum(found["n_links"])).astype(np.int32))
@@ -216,37 +252,18 @@ def pair_counts(aligned: DataFrame, b_size: int) -> DataFrame:
 
 
 def link_counts(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(row, n_best, count_sum) of every row of ``aligned``, from the corpus-wide pair counts."""
-    table = counts.orderBy(F.desc("n"), "pair").limit(frequent).orderBy("pair").toArrow()
-    known = aligned.sparkSession.sparkContext.broadcast(
-        (table.column("pair").to_numpy(), table.column("n").to_numpy(), table.column("best").to_numpy())
-    )
+    """(row, n_best, count_sum) of the rows of ``aligned`` with links, from the corpus-wide pair counts.
 
-    def run(batches):
-        pair, n, best = known.value
-        for batch in batches:
-            links = batch.column("links")
-            value, size = links.flatten().to_numpy(), np.diff(links.offsets.to_numpy())
-            at = np.minimum(np.searchsorted(pair, value), max(len(pair) - 1, 0))
-            hit = pair[at] == value if len(pair) else np.zeros(len(value), bool)
-            row = np.repeat(np.arange(batch.num_rows), size)
-            at, own = at[hit], row[hit]
-            total = np.zeros(batch.num_rows, np.int64)
-            np.add.at(total, own, n[at])
-            rest = np.append(0, np.cumsum(np.bincount(row[~hit], minlength=batch.num_rows))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.bincount(own[best[at]], minlength=batch.num_rows)), pa.array(total),
-                 pa.ListArray.from_arrays(pa.array(rest), pa.array(value[~hit]))],
-                ["row", "n_best", "count_sum", "rest"],
-            )
-
-    found = materialize(aligned.select("row", "links").mapInArrow(run, "row long, n_best long, count_sum long, rest array<long>"))
-    others = found.select("row", F.explode("rest").alias("pair")).groupBy("row", "pair").agg(F.count(F.lit(1)).alias("times"))
-    more = others.join(counts, "pair").groupBy("row").agg(
-        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum")
-    )
-    both = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    return found.join(more, "row", "left").select("row", both("n_best", "more_best"), both("count_sum", "more_sum"))
+    Links of frequent pairs are looked up where they lie, in a broadcast table of ``frequent`` rows at
+    most, and summed by row before anything moves; only links of other pairs are joined by pair.
+    """
+    known = materialize(counts.orderBy(F.desc("n"), "pair").limit(frequent))
+    links = aligned.select("row", F.explode("links").alias("pair"))
+    value = lambda times: (F.sum(F.when(F.col("best"), times).otherwise(0)).alias("n_best"), F.sum(times * F.col("n")).alias("count_sum"))
+    near = links.join(F.broadcast(known), "pair").groupBy("row").agg(*value(F.lit(1)))
+    others = links.join(F.broadcast(known.select("pair")), "pair", "left_anti").groupBy("row", "pair").agg(F.count(F.lit(1)).alias("times"))
+    far = others.join(counts, "pair").groupBy("row").agg(*value(F.col("times")))
+    return near.unionByName(far).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
 def alignment(docs: DataFrame, a_path: str, b_path: str, frequent: int = FREQUENT) -> DataFrame:
@@ -256,4 +273,5 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, frequent: int = FREQUEN
 
     aligned = materialize(align(docs, a_path, b_path))
     counts = pair_counts(aligned, SentencePieceProcessor(model_file=b_path).vocab_size())
-    return aligned.drop("links").join(link_counts(aligned, counts, frequent), "row").drop("row")
+    found = aligned.drop("links").join(link_counts(aligned, counts, frequent), "row", "left")
+    return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")}).drop("row")
