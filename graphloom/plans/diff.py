@@ -138,8 +138,9 @@ class ChangeSet:
 
 
 def diff_graphs(existing: Graph, proposed: Graph) -> ChangeSet:
-    """The difference of two graphs; each version is written once, as every part of it is read often."""
-    return ChangeSet(existing.materialized(), proposed.materialized())
+    """The difference of two graphs. No version is written: each comparison reads a side once, and
+    later steps read the written changes."""
+    return ChangeSet(existing, proposed)
 
 
 def change_summary(entity_changes: DataFrame, relationship_changes: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ class EditPlan:
     known: DataFrame | None = None
     files: DataFrame | None = None
     sources: DataFrame | None = None
+    max_snippets: int = MAX_SNIPPETS
 
     # -- target files ---------------------------------------------------------------------------
 
@@ -176,7 +177,7 @@ class EditPlan:
 
     @cached_property
     def context_neighbors(self) -> DataFrame:
-        """The first neighbours of each file's changes (a top-10 per file, cut before the shuffle)."""
+        """The first ``max_snippets`` neighbours of each file's changes (a top-k per file, cut before the shuffle)."""
         seen = (
             self.placed.select("entity_id", F.col("target_file").alias("file_path"), action_rank().alias("rank"))
             .join(self.neighbors, "entity_id")
@@ -184,7 +185,7 @@ class EditPlan:
             .agg(F.min(F.struct("rank", "entity_id")).alias("at"))
         )
         order = Window.partitionBy("file_path").orderBy("at", "neighbor_id")
-        return seen.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= MAX_SNIPPETS).select(
+        return seen.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= self.max_snippets).select(
             "file_path", "neighbor_id", "position"
         )
 
@@ -205,6 +206,8 @@ class EditPlan:
         )
 
 
-def edit_plan(changes, known: DataFrame | None = None, files: DataFrame | None = None, sources: DataFrame | None = None) -> EditPlan:
+def edit_plan(
+    changes, known: DataFrame | None = None, files: DataFrame | None = None, sources: DataFrame | None = None, max_snippets: int = MAX_SNIPPETS
+) -> EditPlan:
     """Plan for a ``ChangeSet`` (or anything with entities, relationships and neighbors frames)."""
-    return EditPlan(changes.entities, changes.relationships, changes.neighbors, known, files, sources)
+    return EditPlan(changes.entities, changes.relationships, changes.neighbors, known, files, sources, max_snippets)

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators import context, extract, resolve
+from graphloom.plans.diff import diff_graphs
+from graphloom.plans.edit_plan import edit_plan
 from graphloom.registry.base import query
-from graphloom.session import materialize
+from graphloom.session import materialize, union_all
+from graphloom.sources import table_code as table_code_module
 from graphloom.sources.table_code import table_code
 
 FILES_SQL = """
@@ -415,16 +418,107 @@ def parse_errors(spark, sf):
 
 # ---- code context -----------------------------------------------------------------------------
 
-@query("code_slices", over_code("""
-select id, case when type = 'CLASS' and starts_with(path, 'parts') then
-  'class Part' || pk || ':' || chr(10) || '    \"\"\"' || p_type || '\"\"\"' || chr(10) || '    def label(self):' || chr(10)
-  || '        return ''' || p_brand || '''' end as code
-from (select x.path || '::Part' || x.pk as id, 'CLASS' as type, x.* from prt x)"""))
+def _filled(template: str, **values: str) -> str:
+    """A template as SQL that replaces its placeholders by values of the row."""
+    text = _text(template)
+    for name, value in values.items():
+        text = f"replace({text}, '{{{name}}}', cast({value} as varchar))"
+    return text
+
+
+PARENT_IMPORT = """case when parent_id is null then 'from base.kit import Base' else 'from ' || parent_module || ' import ' || parent end"""
+CONTENT_SQL = f"""
+, contents as (
+  select path, {_filled(table_code_module.PACKAGE_FILE, ck="ck")} as content from package
+  union all select path, {_filled(table_code_module.CORE_FILE, c_name="c_name", parent_import=PARENT_IMPORT, segment="c_mktsegment", ck="ck", parent="parent", method="ck % 7")} from core
+  union all select path, {_filled(table_code_module.ORDER_FILE, package="module", ck="ck", pk="pk", status="o_orderstatus", ok="ok", method="m", other="other")}
+    from ord join orders on o_orderkey = ok
+  union all select path, {_filled(table_code_module.PART_FILE, p_name="p_name", size="p_size", pk="pk", p_type="p_type", brand="p_brand")} from prt
+  union all select path, {_filled(table_code_module.SUPPLIER_FILE, pk="pk", sk="sk")} from sup),
+split as (select path, string_split(content, chr(10)) as lines from contents)
+"""
+
+
+def _code(window: int, strip: bool) -> str:
+    """Code of a row of ``parsed`` (p) from its file's lines (f)."""
+    first = "greatest(p.line_number, 1)"
+    text = f"array_to_string(f.lines[{first}:coalesce(p.end_line, {first} + {window - 1})], chr(10))"
+    return f"regexp_replace({text}, '[ \t\n\x0B\f\r]+$', '')" if strip else text
+
+
+@query("code_slices", over_code(CONTENT_SQL + f"""
+select p.id, {_code(context.CONTEXT_WINDOW, True)} as code from parsed p join split f on f.path = p.file_path where p.type <> 'FILE'"""))
 def code_slices(spark, sf):
-    facts, graph = parsed_code(spark, sf)
+    """Code of every entity."""
+    graph = parsed_code(spark, sf)[1]
+    sources = table_code(spark, sf).withColumnRenamed("content", "source")
+    return context.code_slices(graph.entities, sources).select("id", "code")
+
+
+@query("code_context_lookup", over_code(CONTENT_SQL + f"""
+, start as (select min(path) as path from prt)
+select p.id, p.name, p.type, p.line_number, {_code(context.LOOKUP_WINDOW, False)} as code,
+  cast(case when p.type = 'MODULE' then 0 else 1 end as int) as hops
+from parsed p join split f on f.path = p.file_path where p.file_path = (select path from start) and p.type <> 'FILE'"""))
+def code_context_lookup(spark, sf):
+    """Code around the first part's file: the file itself and all that it contains, unstripped."""
+    graph = parsed_code(spark, sf)[1]
+    start = graph.entities.filter("type = 'MODULE' and file_path like 'parts/%'").agg(F.min("id")).scalar()
+    sources = table_code(spark, sf).withColumnRenamed("content", "source")
+    first = graph.spark.range(1).select(start.alias("id")).first().id
+    found = context.code_by_entity(graph, sources, first, max_hops=1)
+    return found.select("id", "name", "type", "line_number", "code", F.col("hops").cast("int").alias("hops"))
+
+
+@query("resolve_one_import", over_code(IMPORTS_SQL + """
+, asked as (select min(id) as id from parsed where type = 'IMPORT' and name = 'price' union all select min(id) from parsed where type = 'IMPORT' and name = 'settle')
+select p.id, coalesce(p.properties->>'module', '') as module, r.symbol_id as resolved_to, t.name as resolved_name, t.type as resolved_type,
+  t.file_path as resolved_file, t.line_number as resolved_line, r.symbol_id is null as is_external
+from asked a join parsed p on p.id = a.id and p.type = 'IMPORT' left join resolved r on r.id = p.id left join parsed t on t.id = r.symbol_id and t.type <> 'FILE'"""))
+def resolve_one_import(spark, sf):
+    """The first import of a part's price, which resolves, and the first one of an outside module."""
+    graph = parsed_code(spark, sf)[1]
+    imports = graph.entities.filter("type = 'IMPORT' and name in ('price', 'settle')")
+    ids = [r.id for r in imports.groupBy("name").agg(F.min("id").alias("id")).collect()]
+    rows = union_all([resolve.resolve_one_import(graph, id_) for id_ in ids])
+    shown = ["resolved_to", "resolved_name", "resolved_type", "resolved_file", "resolved_line", "is_external"]
+    return rows.select("id", F.coalesce("module", F.lit("")).alias("module"), *shown)
+
+
+@query("resolve_call_scalar", over_code("""
+, first as (select min(path) as path from ord), last as (select max(pk) as pk from prt)
+select 'helper' as call, path || '::helper' as target from first
+union all select 'p' || pk || '.price_' || pk, 'parts/p' || pk || '.py::price_' || pk from last
+union all select 'parts.p' || pk || '.Tag', null from last
+union all select 'nothing', null from first"""))
+def resolve_call_scalar(spark, sf):
+    """A name of the same file, a module's symbol, a call with two dots and an unknown name."""
+    graph = parsed_code(spark, sf)[1]
+    bounds = graph.entities.filter("type = 'MODULE'").agg(
+        F.min(F.when(F.col("id").rlike(r"/o[0-9]+\.py$"), F.col("id"))).alias("path"),
+        F.max(F.regexp_extract("id", r"^parts/p([0-9]+)\.py$", 1).try_cast("long")).alias("pk"),
+    ).first()
+    calls = ["helper", f"p{bounds.pk}.price_{bounds.pk}", f"parts.p{bounds.pk}.Tag", "nothing"]
+    return spark.createDataFrame([(c, resolve.resolve_call(graph, c, bounds.path)) for c in calls], "call string, target string")
+
+
+SNIPPETS_SQL = CONTENT_SQL + f"""
+, cut as (select path as file_path, path || '::helper' as gone from ord where ok % 10 = 0),
+near as (
+  select c.file_path, e.id as neighbor_id from cut c, unnest(['log', c.file_path, c.gone || '::local:note', c.gone || '::note']) as e(id)),
+numbered as (select *, cast(row_number() over (partition by file_path order by neighbor_id) as int) as position from near)
+select n.file_path, n.position, n.neighbor_id, {_code(10, False)} as code
+from numbered n join parsed p on p.id = n.neighbor_id and p.type <> 'FILE' join split f on f.path = p.file_path"""
+
+
+@query("plan_snippets", over_code(SNIPPETS_SQL + " where n.position <= 4"))
+def plan_snippets(spark, sf):
+    """Code shown with the plan that removes the helper of every tenth order's file."""
+    existing = parsed_code(spark, sf)[1]
+    order = F.regexp_extract("id", r"/o([0-9]+)\.py::helper$", 1).try_cast("long")
+    proposed = Graph(existing.entities.filter(~F.coalesce(order % 10 == 0, F.lit(False))), existing.relationships)
     sources = table_code(spark, sf).withColumnRenamed("content", "source")
-    classes = graph.entities.filter("type = 'CLASS' and name like 'Part%'")
-    return context.code_slices(classes, sources).select("id", "code")
+    return edit_plan(diff_graphs(existing, proposed), existing.entities, None, sources, max_snippets=4).snippets
 
 
 @query("code_context", over_code("""
