@@ -48,9 +48,11 @@ def byte_symbols() -> list[str]:
 def _char_classes() -> np.ndarray:
     """Class of each code point, by the same character tables as the word pattern."""
     classes = np.full(0x110000, _OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for pattern, value in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _WHITE)):
-        classes[[ord(c) for c in regex.findall(pattern, every)]] = value
+    kinds = [(regex.compile(pattern), value) for pattern, value in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _WHITE))]
+    for first in range(0, 0x110000, 1 << 12):  # small pieces, as lists of a million characters are large
+        block = "".join(map(chr, (c for c in range(first, first + (1 << 12)) if not 0xD800 <= c < 0xE000)))
+        for pattern, value in kinds:
+            classes[[ord(c) for c in pattern.findall(block)]] = value
     return classes
 
 

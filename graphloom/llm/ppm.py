@@ -195,5 +195,5 @@ def identify(docs: DataFrame, key: str = "doc_id", sample_docs: int = SAMPLE_DOC
     """Learn on rows whose crc32(key) modulo ``folds`` is not 0, predict all: docs with held_out,
     lang_pred, score and bits_per_byte."""
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == 0, F.lit(False))
-    rows = materialize(learning_rows(docs.filter(~held), F.col(key), sample_docs))
+    rows = materialize(learning_rows(docs.filter(~held).select(*dict.fromkeys([key, "lang", "text"])), F.col(key), sample_docs))
     return predict(docs.withColumn("held_out", held), learn(rows))

@@ -6,6 +6,8 @@ A chunk holds whole texts and closes after ``CHUNK_BYTES``; a longer text is a c
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +28,22 @@ def worker_cache(key, make):
     """One object per Python worker, kept between tasks; asking for another key drops it, so what
     one operator has built does not stay in memory while the next one runs."""
     if key not in _SLOT:
-        _SLOT.clear()
+        release()
         _SLOT[key] = make()
     return _SLOT[key]
 
 
 def release() -> None:
+    """Drop what the worker keeps, and hand freed memory back to the system: workers are reused from
+    stage to stage, and what one stage has freed would count against the next one's limit."""
     _SLOT.clear()
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:

@@ -49,7 +49,7 @@ class Pieces:
         self.decimal = [str(i) for i in range(self.size)]
         self.whole_runs = all(MARK not in p.lstrip(MARK) and "\n" not in p for p in map(self.model.id_to_piece, range(self.size)))
         self.lone_space = self.model.encode("\n")[0]
-        self.store = WordStore(1 << 19)
+        self.store = WordStore(1 << 18)
 
     def _bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)

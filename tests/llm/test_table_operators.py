@@ -208,3 +208,28 @@ def test_near_dedup_judges_rows_not_ids(spark):
     assert kept.columns == p.COLUMNS
     got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()))
     assert got == sorted([(3, words[0]), (7, words[1]), (8, words[2]), (8, words[3]), (0, words[4]), (0, words[4])])
+
+
+def test_stages_keep_extra_columns_and_hot_groups(spark, tmp_path):
+    """Columns named like the operators' own come back as they were; one source and one text are hot."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 8)))) for _ in range(300)]
+    clean = [" ".join(rng.choice(vocabulary, int(rng.integers(30, 90)))) for _ in range(60)]
+    names = ["row_key", "gone", "copies", "score", "lang_pred", "held_out", "k", "rows", "copy", "h", "bound", "place", "size", "n_words", "kept", "word", "a.b"]
+    rows = []
+    for i in range(90):
+        text = clean[i] if i < 60 else clean[0]
+        rows.append((None if i == 59 else i, text, "en", "hot" if i % 3 else None, len(text), *[float(i)] * len(names)))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` double" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in p.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        for row in kept.collect():
+            own = row.asDict()
+            assert all(own[n] == own["row_key"] for n in names) and (own["doc_id"] is None or own["doc_id"] == own["row_key"])
+    assert {r.doc_id for r in p.near_dedup(spark, docs, "").collect()} == {*range(59), None}
+    same = docs.limit(1).select("*").unionByName(docs.limit(1).withColumn("n_chars", F.lit(7).cast("long")))
+    assert {r.n_chars for r in p.mix_sources(spark, same, "").collect()} <= {7, len(clean[0])}
