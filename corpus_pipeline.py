@@ -8,9 +8,11 @@ Parquet and read again as the next stage's ``docs``. All stages but the last ret
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from graphloom.llm import bpe, icws, mixing, outliers, ppm
 from graphloom.llm.queries import tokenizer_path
@@ -21,19 +23,39 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``row_key``, which tells rows apart by id and content."""
-    return docs.withColumn("row_key", F.struct("doc_id", F.xxhash64("text", "lang", "source").alias("h")))
+    hashed = [f.name for f in docs.schema if not isinstance(f.dataType, MapType)]  # maps have no hash
+    return docs.withColumn("row_key", F.struct("doc_id", F.xxhash64(*hashed).alias("h")))
 
 
+def _extra_columns_aside(stage):
+    """A stage works on the columns of ``documents``; others travel under names that no operator
+    uses and come back as they were."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+        aside = {c: c if c in COLUMNS else f"extra_column_{i}" for i, c in enumerate(docs.columns)}
+        kept = stage(spark, docs.select(*[quoted(c).alias(a) for c, a in aside.items()]), sf_dir)
+        return kept.select(*[F.col(a).alias(c) for c, a in aside.items()])
+
+    return run
+
+
+@_extra_columns_aside
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is known: null text, or text without a letter, goes."""
+    """Keep the documents whose language is known: null or empty text, or text without a letter, goes.
+    Texts of any length are read whole; repeated rows are judged alike."""
     return ppm.identify(docs).filter(F.col("lang_pred") != ppm.UNKNOWN).select(*docs.columns)
 
 
+@_extra_columns_aside
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the base rules and the outlier distance keep."""
+    """Keep the documents that the base rules and the outlier distance keep; null and empty texts go,
+    as they have under twenty words."""
     return outliers.keep(docs)
 
 
+@_extra_columns_aside
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of every group of near duplicates; of rows that share id and text one stays.
 
@@ -52,6 +74,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(kept.filter("row_key is null")).select(*docs.columns)
 
 
+@_extra_columns_aside
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat every document as often as the mix takes it; rows with no copy go."""
     hashed = _numbered(docs)
@@ -66,7 +89,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, with digests of the ids and of what they decode to."""
+    """Token ids of every row, with digests of the ids and of what they decode to; null and empty
+    texts have no ids, texts of any length are encoded whole."""
     return bpe.digests(docs, tokenizer_path())
 
 
