@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph
 from graphloom.plans.diff import classify, diff_graphs, fingerprint, overlay_edges, overlay_nodes
 from graphloom.plans.edit_plan import edit_plan
+from graphloom.plans.render import change_spec, read_change_spec, write_change_spec
 from graphloom.registry.base import ENTITY_SQL, EDGE_SQL, query
 from graphloom.session import scratch_dir, union_all
 from graphloom.sources.graph_json import read_graph_lines, write_graph_lines
@@ -110,6 +111,30 @@ def classify_edges(spark, sf):
     return classify(versions(spark, sf))[1]
 
 
+@query("classify_nodes", over_versions("select entity_id as id, action from changes"))
+def classify_nodes(spark, sf):
+    return classify(versions(spark, sf))[0]
+
+
+@query("spec_round_trip", over_versions("""
+select row_number() over (order by case action when 'added' then 0 when 'removed' then 1 else 2 end, entity_id) - 1 as position,
+  action, entity_id, file_path, entity_type,
+  array_to_string(list_sort(string_split(fields, ',')), ',') as fields,
+  coalesce((select count(*) from neighbors n where n.entity_id = c.entity_id), 0) as neighbors
+from changes c"""))
+def spec_round_trip(spark, sf):
+    """The change document written and read again: its list order, fields and neighbours survive."""
+    path = f"{scratch_dir(spark)}/change-spec-{uuid.uuid4().hex}.json"
+    write_change_spec(change_spec(versions(spark, sf)), path)
+    spec = read_change_spec(spark, path)
+    near = spec.neighbors.groupBy("entity_id").agg(F.count(F.lit(1)).alias("neighbors"))
+    fields = F.array_join(F.array_sort(F.transform("field_diffs", lambda d: d["field"])), ",")
+    return spec.entities.join(near, "entity_id", "left").select(
+        F.col("position").cast("long").alias("position"), "action", "entity_id", "file_path", "entity_type", fields.alias("fields"),
+        F.coalesce("neighbors", F.lit(0)).alias("neighbors"),
+    )
+
+
 @query("overlay_nodes", over_versions("""
 select n.id, n.name, n.type, c.action as diff_status from new_entities n left join changes c on c.entity_id = n.id
 union all select e.id, e.name, e.type, 'removed' from entities e join changes c on c.entity_id = e.id and c.action = 'removed'"""))
