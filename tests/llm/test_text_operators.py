@@ -394,3 +394,12 @@ def test_long_words_and_texts_above_a_chunk(spark, library):
     assert got[1].n_tokens == len(ids) and got[1].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     counts = {r.doc_id: r for r in outliers.document_counts(docs).collect()}
     assert counts[1].n_words == len(words(text)) and counts[1].n_dup_lines == 1
+
+
+def test_common_lines_of_long_pages():
+    import time
+
+    began = time.time()
+    assert len(page_diff.common_lines([5] * 20_000, [7, *[5] * 19_000, 8])) == 19_000
+    assert len(page_diff.common_lines([*[5] * 20_000, 1, *[5] * 500], [2, *[5] * 20_000, 3])) == 20_000
+    assert time.time() - began < 10
