@@ -97,11 +97,8 @@ def _walk(frontier: DataFrame, edges: DataFrame, max_hops: int | None, blocked:
     return levels
 
 
-def _levels(frontier: DataFrame, edges: DataFrame, max_hops: int | None, target: str | None = None) -> DataFrame:
-    """Hop counts only (id, hops); the cheap form when paths are not asked for.
-
-    Stops early once ``target`` is reached.
-    """
+def _levels(frontier: DataFrame, edges: DataFrame, max_hops: int | None) -> DataFrame:
+    """Hop counts only (id, hops); the cheap form when paths are not asked for."""
     levels = [materialize(frontier.select("id", F.lit(0).alias("hops")))]
     hop = 0
     while max_hops is None or hop < max_hops:
@@ -115,14 +112,9 @@ def _levels(frontier: DataFrame, edges: DataFrame, max_hops: int | None, target:
             .join(visited, "id", "left_anti")
             .select("id", F.lit(hop).alias("hops"))
         )
-        size, found = level.agg(
-            F.count(F.lit(1)), F.count_if(F.col("id") == F.lit(target))
-        ).first()
-        if size == 0:
+        if level.isEmpty():
             break
         levels.append(level)
-        if found:
-            break
     return union_all(levels)
 
 
@@ -190,57 +182,6 @@ def callers(graph, entity_id: str, max_depth: int = 1, types: tuple[str, ...] =
     return union_all(rows)
 
 
-def shortest_path(graph, source_id: str, target_id: str) -> DataFrame:
-    """Undirected shortest path between two entities as steps (step, id, edge type), or no rows.
-
-    The target is searched for by hop count first; the path is then read back level by level.
-    """
-    if source_id == target_id:
-        return graph.entities.filter(F.col("id") == source_id).select(
-            F.lit(0).alias("step"), "id", F.lit(None).cast("string").alias("relationship_type")
-        )
-    from graphloom.operators.subgraph import connected_edges
-
-    graph = graph.materialized()
-    edges = materialize(adjacency(connected_edges(graph), "both"))
-    levels = _levels(start_rows(graph.spark, [source_id]), edges, None, target=target_id)
-    return _read_back(graph.spark, edges, levels, source_id, target_id)
-
-
-def shortest_path_length(graph, source_id: str, target_id: str) -> DataFrame:
-    """Number of hops between two entities, ignoring edge directions; no row if unconnected."""
-    from graphloom.operators.subgraph import connected_edges
-
-    graph = graph.materialized()
-    known = graph.entities.filter(F.col("id") == target_id).select("id")
-    if source_id == target_id:
-        return known.select("id", F.lit(0).alias("hops"))
-    edges = materialize(adjacency(connected_edges(graph), "both").select("src", "dst"))
-    levels = _levels(start_rows(graph.spark, [source_id]), edges, None, target=target_id)
-    return levels.join(known, "id", "left_semi").select("id", "hops")
-
-
-def _read_back(spark, edges: DataFrame, levels: DataFrame, source_id: str, target_id: str) -> DataFrame:
-    reached = levels.filter(F.col("id") == target_id).select("hops").first()
-    if reached is None:
-        return spark.createDataFrame([], "step int, id string, relationship_type string")
-    steps = []
-    current = target_id
-    for hop in range(reached.hops, 0, -1):
-        # One top-1 lookup per step: the lowest-positioned edge from the previous level.
-        best = (
-            edges.filter(F.col("dst") == current)
-            .join(levels.filter(F.col("hops") == hop - 1), F.col("src") == F.col("id"))
-            .orderBy("ord", "src")
-            .select("src", "type")
-            .first()
-        )
-        steps.append((hop, current, best.type))
-        current = best.src
-    steps.append((0, source_id, None))
-    return spark.createDataFrame(sorted(steps), "step int, id string, relationship_type string")
-
-
 def connected_components(node_ids: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Undirected components as (id, component); the component is its smallest id.
 

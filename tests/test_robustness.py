@@ -10,7 +10,7 @@ from graphloom.operators import resolve
 from graphloom.operators.context import code_slices
 from graphloom.operators.extract import parse_errors, parsed_entities, syntax_facts
 from graphloom.operators.subgraph import viewer_elements
-from graphloom.operators.traverse import shortest_path, shortest_path_length
+from graphloom.operators.meeting import shortest_path, shortest_path_length
 from graphloom.session import scratch_dir
 from graphloom.sources.files import python_files, read_files
 

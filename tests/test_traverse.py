@@ -3,7 +3,8 @@ from collections import deque
 
 import pytest
 from graph_helpers import make_graph, pairs
-from graphloom.operators import traverse
+from graphloom.operators import meeting, reach, traverse
+from graphloom.operators.subgraph import connected_edges
 
 
 def random_graph(spark, seed, nodes=30, edges=80):
@@ -62,11 +63,68 @@ def test_small_graph_answers(small_graph):
 
 
 def test_shortest_path(spark, small_graph):
-    steps = traverse.shortest_path(small_graph, "b.py::entry", "a.py::Box").orderBy("step").collect()
+    steps = meeting.shortest_path(small_graph, "b.py::entry", "a.py::Box").orderBy("step").collect()
     assert len(steps) == 4 and steps[0].id == "b.py::entry" and steps[-1].id == "a.py::Box"
-    assert traverse.shortest_path(small_graph, "b.py", "a.py").count() == 0
-    assert traverse.shortest_path(small_graph, "a.py", "a.py").collect()[0].step == 0
-    assert traverse.shortest_path_length(small_graph, "a.py", "b.py::entry").first().hops == 2
+    assert meeting.shortest_path(small_graph, "b.py", "a.py").count() == 0
+    assert meeting.shortest_path(small_graph, "a.py", "a.py").collect()[0].step == 0
+    assert meeting.shortest_path_length(small_graph, "a.py", "b.py::entry").first().hops == 2
+
+
+def one_sided(links, source):
+    """Distances from ``source`` in both directions over links between known nodes."""
+    near = {}
+    for a, b, *_ in links:
+        if "ghost" not in (a, b) and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    hops, queue = {source: 0}, deque([source])
+    while queue:
+        at = queue.popleft()
+        for other in near.get(at, ()):
+            if other not in hops:
+                hops[other] = hops[at] + 1
+                queue.append(other)
+    return hops
+
+
+@pytest.mark.parametrize("seed,edges,target", [(7, 34, "n9"), (8, 34, "n21"), (9, 60, "n2"), (10, 20, "n5")])
+def test_meeting_searches_keep_the_tie_rule(spark, seed, edges, target):
+    links, graph = random_graph(spark, seed, edges=edges)
+    hops = one_sided(links, "n0")
+    expected = []
+    at = target
+    while at in hops and hops[at]:
+        ways = [(i, a if b == at else b, kind) for i, (a, b, kind, _) in enumerate(links) if at in (a, b) and a != b and "ghost" not in (a, b)]
+        _, before, kind = min((i, o, k) for i, o, k in ways if hops.get(o) == hops[at] - 1)
+        expected.append((hops[at], at, kind))
+        at = before
+    expected = sorted([*expected, (0, "n0", None)]) if target in hops else []
+    steps = meeting.shortest_path(graph, "n0", target).orderBy("step").collect()
+    assert [tuple(r) for r in steps] == expected
+    assert [r.hops for r in meeting.shortest_path_length(graph, "n0", target).collect()] == ([hops[target]] if target in hops else [])
+
+
+def test_meeting_searches_pass_hubs_by(spark):
+    """A hub of 500 leaves beside the path is never opened; the search from one side opens it."""
+    chain = [(f"c{i}", f"c{i + 1}", "CALLS", 1) for i in range(6)]
+    leaves = [("c1", "hub", "CALLS", 1)] + [("hub", f"l{i}", "CALLS", 1) for i in range(500)]
+    names = sorted({n for a, b, *_ in chain + leaves for n in (a, b)})
+    graph = make_graph(spark, [(n, n, "FUNCTION", "f.py", 1, None) for n in names], chain + leaves)
+    found = meeting.meet(traverse.adjacency(connected_edges(graph), "both"), "c0", "c6")
+    assert found.distance == 6 and found.edges_followed < 20
+    assert meeting.meet(traverse.adjacency(connected_edges(graph), "both"), "c0", "nowhere").distance is None
+
+
+def test_reach_of_all_within_its_error(spark):
+    links, graph = random_graph(spark, 12, nodes=60, edges=140)
+    got = dict(pairs(reach.reach_of_all(graph, 3), "id", "reach"))
+    assert got == {n: len(walk(links, [n], 3)) - 1 for n in [*(f"n{i}" for i in range(60)), "ghost"]}
+    fan = [("top", f"m{i}", "CALLS", 1) for i in range(100)] + [(f"m{i}", f"x{i * 60 + j}", "CALLS", 1) for i in range(100) for j in range(60)]
+    wide = make_graph(spark, [("top", "top", "FUNCTION", "f.py", 1, None)], fan)
+    got = dict(pairs(reach.reach_of_all(wide, 4), "id", "reach"))
+    assert abs(got["top"] - 6100) <= 4 * reach.standard_error() * 6100
+    assert got["m3"] == 60 and got["x5"] == 0
+    assert reach.reach_of_all(make_graph(spark, [], []), 2).count() == 0
 
 
 @pytest.mark.parametrize("seed,edges", [(3, 18), (4, 45)])
