@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join (operator 3).
 
-A text block is a run of ``BLOCK`` words, starting every ``STEP`` words of the whole text. The join
-finds every (block, template) whose containment |T ∩ B| / |T| reaches ``threshold``:
+A text block is a run of ``BLOCK`` words, starting every ``STEP`` words of the whole text. Templates of
+more than ``STEP`` words have blocks of their own, twice as long until the step holds the template, so a
+template of any length lies whole in some block; there is one pass per block length. The join finds every (block, template) whose containment |T ∩ B| / |T| reaches ``threshold``:
 
 * the words of all templates are ordered by their frequency over the whole corpus, rarest first;
 * a block that reaches the threshold holds one of the first |T| - need + 1 words of the template
@@ -25,8 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 64
+from graphloom.session import union_all
+
+#: Words from block to block for short templates; a block is two steps long.
 STEP = 32
+BLOCK = 2 * STEP
 THRESHOLD = 0.8
 
 # Base phrases and their labels.
@@ -35,7 +39,7 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Label and words of public licence notices; none is longer than STEP words.
+# Label and words of public licence notices.
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
@@ -62,10 +66,18 @@ def word_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(kept), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
 
 
-def template_rows(spark: SparkSession, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(template, label, token, need, size), one row per distinct word of a template."""
+def step_of(text: str) -> int:
+    """Words from block to block for a template: the smallest doubling of ``STEP`` that holds it."""
+    step = STEP
+    while step < len(text.split(" ")):
+        step *= 2
+    return step
+
+
+def template_rows(spark: SparkSession, templates: dict[int, tuple[str, str]], threshold: float) -> DataFrame:
+    """(template, label, token, need, size), one row per distinct word of a numbered template."""
     rows = []
-    for number, (label, text) in enumerate(templates):
+    for number, (label, text) in templates.items():
         words = sorted(set(text.split(" ")))
         need = next(k for k in range(1, len(words) + 1) if k >= threshold * len(words) - 1e-9)
         rows += [F.struct(F.lit(number).alias("template"), F.lit(label).alias("label"), F.lit(w).alias("token"), F.lit(need).alias("need"), F.lit(len(words)).alias("size")) for w in words]
@@ -88,16 +100,24 @@ def prefix_index(words: DataFrame, templates: DataFrame) -> DataFrame:
 
 def matching_blocks(texts: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(key, block, template, label, containment) of every text block that reaches the threshold;
-    ``texts`` has the columns key and words (an array). Rows may repeat."""
-    spark = texts.sparkSession
-    index = prefix_index(texts.select(F.explode("words").alias("word")), template_rows(spark, templates, threshold))
+    ``texts`` has the columns key and words (an array). ``block`` counts the steps of its template's
+    block length. Rows may repeat."""
+    by_step: dict[int, dict[int, tuple[str, str]]] = {}
+    for number, template in enumerate(templates):
+        by_step.setdefault(step_of(template[1]), {})[number] = template
+    return union_all([_matching(texts, chosen, step, threshold) for step, chosen in sorted(by_step.items())])
+
+
+def _matching(texts: DataFrame, templates: dict[int, tuple[str, str]], step: int, threshold: float) -> DataFrame:
+    """``matching_blocks`` of the templates that share a block length of two steps."""
+    index = prefix_index(texts.select(F.explode("words").alias("word")), template_rows(texts.sparkSession, templates, threshold))
     placed = texts.select("key", "words", F.posexplode("words").alias("at", "word"))
     hits = placed.join(F.broadcast(index), F.col("word") == F.col("token"))
-    last = F.floor(F.col("at") / STEP)
+    last = F.floor(F.col("at") / step)
     blocks = F.when(last > 0, F.array(last, last - 1)).otherwise(F.array(last))
     inside = hits.select(
         "key", "token", "template", "label", "need", "size", "place", "tokens", "ordered", F.explode(blocks).alias("block"), "words"
-    ).withColumn("held", F.slice("words", F.col("block").cast("int") * STEP + 1, BLOCK)).drop("words")
+    ).withColumn("held", F.slice("words", F.col("block").cast("int") * step + 1, 2 * step)).drop("words")
     known = inside.withColumn("known", F.array_intersect("ordered", "held")).filter(F.size("known") >= F.col("need"))
     later = F.least(F.col("size") - F.col("place") - 1, F.size("known") - F.array_position("known", F.col("token")))
     overlap = F.size(F.array_intersect("tokens", "held"))

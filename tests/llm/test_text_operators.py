@@ -187,6 +187,30 @@ def test_license_scan(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_any_length(spark):
+    """Templates far longer than a block of short ones are found wherever they stand; all blocks are tried."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    templates = [("short", "all rights reserved"), ("at-33", " ".join(vocabulary[:33])), ("whole", " ".join(vocabulary[:90])),
+                 ("long", " ".join(vocabulary[100:550])), ("echo", "same words " * 60 + "again")]
+    texts = []
+    for label, text in templates:
+        for before in (0, 31, 65, 500):
+            body = [w for w in text.split() if rng.random() < 0.9]
+            texts.append(" ".join([f"x{rng.integers(99)}" for _ in range(before)] + body + ["end"] * 40))
+    texts += [" ".join(rng.choice(vocabulary, 700)), " ".join(vocabulary[:60]), "", None]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).collect()}
+    for i, text in enumerate(texts):
+        words, best = (text or "").split(), {}
+        for label, template in templates:
+            step, wanted = licenses.step_of(template), set(template.split())
+            best[label] = max((len(wanted & set(words[k : k + 2 * step])) / len(wanted) for k in range(0, len(words), step)), default=0)
+        found = {label for label, share in best.items() if share >= licenses.THRESHOLD - 1e-9}
+        assert got[i].labels == ",".join(sorted(found))
+        assert got[i].score == max((best[label] for label in found), default=0.0)
+    assert "long" in got[15].labels and "whole" in got[9].labels
+
+
 LANGUAGES = {"aa": "the cat and the dog went to the mat ", "bb": "der hund und die katze auf dem dach ", "cc": "el gato y el perro en la casa "}
 
 
