@@ -140,3 +140,17 @@ def test_edge_order_is_breadth_first_per_function(build):
     graph = build({"o.py": "def f():\n    if a():\n        b(c())\n    d()\n\ndef g(): e()\n"}, resolve=False)
     rows = graph.relationships.filter("type = 'CALLS'").orderBy("ord").select("target_id").collect()
     assert [r.target_id for r in rows] == ["a", "d", "b", "c", "e"]
+
+
+def test_numbering_a_file_moves_no_facts(spark):
+    from graphloom.operators.extract import file_numbers, graph_relationships, stored_facts
+    from graphloom.session import materialize
+
+    rows = [(f"a{i}.py", "class A(B):\n    def f(self):\n        x = C()\n        return g(x)\n") for i in range(40)]
+    facts = stored_facts(spark.createDataFrame(rows + rows[:2], "path string, content string"))
+    edges = graph_relationships(facts, materialize(file_numbers(facts)))
+    shuffled = [line for line in edges._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(file_path" in line]
+    # At most the file numbers are dealt by path, never the edges.
+    assert len(shuffled) <= 1
+    places = edges.selectExpr("ord % 134217728 as place", "ord div 134217728 as n").groupBy("n").agg({"place": "max"}).collect()
+    assert sorted(r[1] for r in places) == [10] * 38 + [20] * 2

@@ -83,3 +83,20 @@ def test_scalar_lookups(build):
     one = resolve.resolve_one_import(graph, "m/a.py::import:f").first()
     assert (one.resolved_to, one.is_external) == ("m/b.py::f", False)
     assert resolve.resolve_one_import(graph, "m/a.py::import:os").first().is_external is False
+
+
+def test_method_walks_over_diamonds_and_cycles(spark):
+    from graphloom.operators import resolve
+    from graphloom.operators.extract import build_graph
+
+    code = "class Top:\n    def far(self): pass\nclass L(Top):\n    def near(self): pass\nclass R(Top):\n    def far(self): pass\nclass D(L, R): pass\nclass X(Y): pass\nclass Y(X, D): pass\n"
+    graph = build_graph(spark.createDataFrame([("m.py", code)], "path string, content string"), resolve=False)
+    symbols = resolve.Symbols(graph)
+    parents = resolve.class_parents(graph, symbols, resolve.resolved_imports(graph, symbols))
+    asked = spark.createDataFrame([(f"m.py::{c}", n) for c in ("D", "X", "Y", "R", "gone") for n in ("far", "near", "none")], "class_id string, name string")
+    found = {(r.class_id, r.name): r.method_id for r in resolve.find_methods(asked, symbols, parents).collect()}
+    # Depth-first: D meets Top through L before R.
+    assert found[("m.py::D", "far")] == found[("m.py::X", "far")] == "m.py::Top::far"
+    assert found[("m.py::R", "far")] == "m.py::R::far"
+    table = {(r.class_id, r.name): r.method_id for r in resolve.method_table(graph, symbols, parents).collect()}
+    assert found == {k: v for k, v in table.items() if k[0][-1] in "DXYR"}
