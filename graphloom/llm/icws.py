@@ -3,8 +3,7 @@
 A document is the weighted set of its five-word shingles; a shingle weighs (1 + ln tf) * idf. The
 idf is ln(1 + 1 / max(df / N, RARE)), so it tells apart shingles that at least ``RARE`` of all
 documents hold, and every rarer one weighs alike. The number of such shingles is bounded by the
-mean document length over ``RARE`` whatever the corpus; they are found in one pass by lossy
-counting (df is understated by at most ``RARE`` / 4 of the documents).
+mean document length over ``RARE`` whatever the corpus; every shingle's df is counted exactly.
 
 ``BANDS`` x ``ROWS`` consistent weighted samples per document (Ioffe, 2010) are the signature: two
 documents share a sample with the probability of their weighted Jaccard similarity, so at 0.8 one
@@ -37,9 +36,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 10
 ROWS = 3
-#: Share of all documents from which on a shingle loses weight. Lower values would let a large group
-#: of near copies talk down its own common text, so that edits outweigh it.
-RARE = 0.2
+#: Share of all documents from which on a shingle loses weight. Every shingle is counted; the mean
+#: length / ``RARE`` ones above, some hundred thousand, travel with the tasks.
+RARE = 0.001
 BLOCK = 128
 NEAREST = 3
 TILE = 256
@@ -70,41 +69,36 @@ def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[at], value[at], np.diff(np.append(at, len(row)))
 
 
-def frequent_shingles(docs: DataFrame, rare: float = RARE, chunk_docs: int = 16384) -> tuple[np.ndarray, np.ndarray, int]:
+def frequent_shingles(docs: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.ndarray, int]:
     """(hashes, document counts, number of documents): shingles of at least ``rare`` of all rows.
 
-    A task counts exactly within runs of its documents and hands on what reaches ``rare`` / 4 of a
-    run, so a shingle goes uncounted only in runs that hold it in less than that share; runs of less
-    than 4 / ``rare`` documents hand on everything. At most mean length / rare shingles reach the driver.
+    Every shingle is counted: exactly within runs of a task's documents, then by one grouping. At most
+    mean length / rare of them reach the driver.
     """
 
-    def flush(held: list[np.ndarray], documents: int):
-        value, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-        often = n >= rare / 4 * documents
-        ids = np.append(value[often].view(np.int64), 0)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(int(often.sum()), np.int64), documents))], ["h", "df", "docs"]
-        )
+    def flush(held: list[np.ndarray]):
+        value, n = np.unique(np.concatenate(held), return_counts=True)
+        for at in range(0, len(value), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(value[part].view(np.int64)), pa.array(n[part])], ["h", "df"])
 
     def run(batches):
         release()
         held: list[np.ndarray] = []
-        documents = size = 0
+        size = 0
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                value = shingles(chunk)[1]
-                held.append(value)
-                documents, size = documents + chunk.rows, size + len(value)
-                if documents >= chunk_docs or size >= 1 << 22:
-                    yield flush(held, documents)
-                    held, documents, size = [], 0, 0
-        if documents:
-            yield flush(held, documents)
-
-    counted = docs.select("text").mapInArrow(run, "h long, df long, docs long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"))
-    counted = materialize(counted)
-    total = counted.agg(F.sum("docs")).first()[0] or 0
-    frequent = counted.filter(F.col("df") >= max(2, 0.75 * rare * total)).select("h", "df").toArrow()
+                held.append(shingles(chunk)[1])
+                size += len(held[-1])
+                if size >= 1 << 22:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    total = docs.count()
+    counted = docs.select("text").mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    frequent = counted.filter(F.col("df") >= max(2, rare * total)).toArrow()
     hashes = frequent.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], frequent.column("df").to_numpy()[order], int(total)
@@ -116,13 +110,13 @@ class Weights:
     def __init__(self, hashes: np.ndarray, df: np.ndarray, total: int, rare: float = RARE):
         self.hashes, self.idf = hashes, np.log1p(1 / np.maximum(df / max(total, 1), rare))
         self.default = float(np.log1p(1 / max(rare, 1 / max(total, 1))))
-        self.known = np.zeros(1 << 16, bool)
-        self.known[(hashes >> np.uint64(48)).astype(np.int64)] = True
+        self.known = np.zeros(1 << 22, bool)
+        self.known[(hashes >> np.uint64(42)).astype(np.int64)] = True
 
     def of(self, value: np.ndarray, tf: np.ndarray) -> np.ndarray:
         idf = np.full(len(value), self.default)
         if len(self.hashes):
-            maybe = np.flatnonzero(self.known[(value >> np.uint64(48)).astype(np.int64)])
+            maybe = np.flatnonzero(self.known[(value >> np.uint64(42)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.hashes, value[maybe]), len(self.hashes) - 1)
             hit = self.hashes[at] == value[maybe]
             idf[maybe[hit]] = np.minimum(self.idf[at[hit]], self.default)

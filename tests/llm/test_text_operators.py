@@ -427,3 +427,16 @@ def test_common_lines_of_long_pages():
     assert len(page_diff.common_lines([5] * 20_000, [7, *[5] * 19_000, 8])) == 19_000
     assert len(page_diff.common_lines([*[5] * 20_000, 1, *[5] * 500], [2, *[5] * 20_000, 3])) == 20_000
     assert time.time() - began < 10
+
+
+def test_rare_shingles_are_counted_too(spark):
+    rows = [(f"common words stand in every text here and then w{i} x{i} y{i} z{i} v{i}" + (" a b c d e" if i % 50 == 0 else ""),) for i in range(400)]
+    hashes, df, total = icws.frequent_shingles(spark.createDataFrame(rows, "text string").repartition(3))
+    assert total == 400 and sorted(df.tolist())[0] == 8 and df.max() == 400
+
+
+def test_marked_pages_are_compared_too(spark):
+    page = "<body><p>site line</p><article><p>text {}</p><p>shared note</p></article></body>"
+    rows = [(i, f"http://h.example/a/{i}", page.format(i)) for i in range(4)]
+    got = {r.page_id: r for r in page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == f"text {i} shared note" and got[i].n_shared == 2 for i in range(4))
