@@ -3,7 +3,7 @@
 A document is the weighted set of its five-word shingles; a shingle weighs (1 + ln tf) * idf. The
 idf is ln(1 + 1 / max(df / N, RARE)), so it tells apart shingles that at least ``RARE`` of all
 documents hold, and every rarer one weighs alike. The number of such shingles is bounded by the
-mean document length over ``RARE`` whatever the corpus; every shingle's df is counted exactly.
+mean document length over ``RARE`` whatever the corpus; the df of each is exact.
 
 ``BANDS`` x ``ROWS`` consistent weighted samples per document (Ioffe, 2010) are the signature: two
 documents share a sample with the probability of their weighted Jaccard similarity, so at 0.8 one
@@ -36,19 +36,24 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 10
 ROWS = 3
-#: Share of all documents from which on a shingle loses weight. Every shingle is counted; the mean
-#: length / ``RARE`` ones above, some hundred thousand, travel with the tasks.
+#: Share of all documents from which on a shingle loses weight. All that reach it are counted exactly;
+#: these mean length / ``RARE`` ones, some hundred thousand, travel with the tasks.
 RARE = 0.001
 BLOCK = 128
 NEAREST = 3
 TILE = 256
+#: Buckets of the first count, by the top bits of the hash: on average a fifth of the bound each at 450
+#: shingles a document, whatever their number. They travel in slices.
+BUCKET_BITS = 21
+BUCKET_SHIFT = np.uint64(64 - BUCKET_BITS)
+SLICE = 1 << 10
 
 
-def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, tf) of the distinct shingles of each row, by row and hash."""
+def _places(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the shingle at every place of each row, repeats included."""
     start, end, row = chunk.words()
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     word, factor = chunk.hasher()(start, end), seeds(SHINGLE, 31)
     n = len(word)
     count = np.bincount(row, minlength=chunk.rows)
@@ -60,7 +65,11 @@ def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         combined += np.where(inside, word[at] * factor[k], np.uint64(0))
     place = np.arange(n) - first[row]
     whole = place <= np.maximum(count[row] - SHINGLE, 0)
-    row, value = row[whole], mix64(combined[whole])
+    return row[whole], mix64(combined[whole])
+
+
+def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, number) of the distinct pairs, by row and hash."""
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     new = np.ones(len(row), bool)
@@ -69,12 +78,63 @@ def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[at], value[at], np.diff(np.append(at, len(row)))
 
 
+def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, tf) of the distinct shingles of each row, by row and hash."""
+    return _distinct(*_places(chunk))
+
+
+def _full_buckets(docs: DataFrame, least: float) -> np.ndarray:
+    """Which of the 2 ** ``BUCKET_BITS`` buckets of shingles hold at least ``least`` places of all texts.
+
+    A task counts all its places in one array and hands it on in slices; the tasks behind add up slices
+    as they come.
+    """
+
+    def count(batches):
+        release()
+        total, held, size = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                held.append((_places(chunk)[1] >> BUCKET_SHIFT).astype(np.int64))
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        sliced = total.reshape(-1, SLICE)
+        used = np.flatnonzero(sliced.any(1))
+        for at in range(0, len(used), 256):
+            part = used[at : at + 256]
+            packed = pa.array([sliced[k].astype("<u4").tobytes() for k in part], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), packed], ["slice", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts")):
+                counts = np.frombuffer(packed.as_py(), "<u4")
+                sums[k] = sums[k] + counts if k in sums else counts.astype(np.int64)
+        full = [k * SLICE + np.flatnonzero(n >= least) for k, n in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(full) if full else np.zeros(0, np.int64), pa.int64())], ["bucket"])
+
+    counted = docs.select("text").mapInArrow(count, "slice long, counts binary")
+    found = counted.repartition("slice").mapInArrow(add, "bucket long").toArrow()
+    full = np.zeros(1 << BUCKET_BITS, bool)
+    full[found.column("bucket").to_numpy()] = True
+    return full
+
+
 def frequent_shingles(docs: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.ndarray, int]:
     """(hashes, document counts, number of documents): shingles of at least ``rare`` of all rows.
 
-    Every shingle is counted: exactly within runs of a task's documents, then by one grouping. At most
-    mean length / rare of them reach the driver.
+    Two passes (Park, Chen and Yu, 1995): every place of every text is counted in its bucket first. A
+    shingle cannot stand in more documents than its bucket has places, so only those of buckets that
+    reach the bound are counted by themselves, exactly. At most mean length / rare reach the driver.
     """
+    total = docs.count()
+    least = max(2, rare * total)
+    shared = docs.sparkSession.sparkContext.broadcast(_full_buckets(docs, least))
 
     def flush(held: list[np.ndarray]):
         value, n = np.unique(np.concatenate(held), return_counts=True)
@@ -88,7 +148,9 @@ def frequent_shingles(docs: DataFrame, rare: float = RARE) -> tuple[np.ndarray,
         size = 0
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                held.append(shingles(chunk)[1])
+                row, value = _places(chunk)
+                maybe = shared.value[(value >> BUCKET_SHIFT).astype(np.int64)]
+                held.append(_distinct(row[maybe], value[maybe])[1])
                 size += len(held[-1])
                 if size >= 1 << 22:
                     yield from flush(held)
@@ -96,9 +158,8 @@ def frequent_shingles(docs: DataFrame, rare: float = RARE) -> tuple[np.ndarray,
         if held:
             yield from flush(held)
 
-    total = docs.count()
     counted = docs.select("text").mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-    frequent = counted.filter(F.col("df") >= max(2, rare * total)).toArrow()
+    frequent = counted.filter(F.col("df") >= least).toArrow()
     hashes = frequent.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], frequent.column("df").to_numpy()[order], int(total)

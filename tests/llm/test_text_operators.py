@@ -435,6 +435,20 @@ def test_rare_shingles_are_counted_too(spark):
     assert total == 400 and sorted(df.tolist())[0] == 8 and df.max() == 400
 
 
+def test_only_full_buckets_of_shingles_are_counted_one_by_one(spark):
+    """Rows of 2,000 texts reach no grouping unless their bucket holds enough places for the bound."""
+    rows = [(i, " ".join(f"w{(i * k * k) % (3 + k % 11)}" for k in range(40 + i % 7)) + f" a{i} b{i} c{i} d{i} e{i}") for i in range(2000)]
+    docs = spark.createDataFrame([*rows, (-1, None), (-2, "")], "doc_id long, text string").repartition(5)
+    full = icws._full_buckets(docs, 100)
+    hashes, df, total = icws.frequent_shingles(docs, 100 / 2002)
+    grams = Counter()
+    for _, text in rows:
+        words = text.split()
+        grams.update({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    assert total == 2002 and sorted(df.tolist()) == sorted(n for n in grams.values() if n >= 100)
+    assert full[(hashes >> icws.BUCKET_SHIFT).astype(int)].all() and len(hashes) // 2 < full.sum() < len(grams) // 10
+
+
 def test_marked_pages_are_compared_too(spark):
     page = "<body><p>site line</p><article><p>text {}</p><p>shared note</p></article></body>"
     rows = [(i, f"http://h.example/a/{i}", page.format(i)) for i in range(4)]
