@@ -22,7 +22,9 @@ paths. Equal rows get equal results. Markup that is cut off or left open counts
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import zlib
 from collections import defaultdict
 from html import unescape
 
@@ -242,23 +244,25 @@ def _prefix(a: str, b: str) -> int:
 
 
 def parsed(pages: DataFrame, with_lines: bool) -> DataFrame:
-    """(rk, lines or hashes, cut, main) of every page; rk numbers its content."""
-    keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("rk"), "html")
+    """(rk, site, path, lines or hashes, cut, main) of every page; rk numbers its content."""
+    keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("rk"), *_site_and_path(), "html")
     name, kind = ("lines", pa.string()) if with_lines else ("hashes", pa.int64())
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {"rk": batch.column("rk").to_pylist(), name: [], "cut": [], "main": []}
+            out: dict[str, list] = {name: [], "cut": [], "main": []}
             for html in batch.column("html"):
                 lines = page_lines(html.as_py() or "")
                 out[name].append([line if with_lines else line_hash(line) for line, _, _ in lines])
                 out["cut"].append([cut for _, cut, _ in lines])
                 out["main"].append([main for _, _, main in lines])
+            places = ["rk", "site", "path"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["rk"], pa.int64()), pa.array(out[name], pa.list_(kind)), pa.array(out["cut"], pa.list_(pa.bool_())), pa.array(out["main"], pa.list_(pa.bool_()))], list(out)
+                [*batch.select(places).columns, pa.array(out[name], pa.list_(kind)), pa.array(out["cut"], pa.list_(pa.bool_())), pa.array(out["main"], pa.list_(pa.bool_()))], [*places, *out]
             )
 
-    return keyed.mapInArrow(run, f"rk long, {name} array<{'string' if with_lines else 'long'}>, cut array<boolean>, main array<boolean>")
+    lists = f"{name} array<{'string' if with_lines else 'long'}>, cut array<boolean>, main array<boolean>"
+    return keyed.mapInArrow(run, f"rk long, site string, path string, {lists}")
 
 
 def _site_and_path() -> tuple:
@@ -270,8 +274,7 @@ def _site_and_path() -> tuple:
 
 def shared_lines(pages: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rk, shared): positions of the lines every page shares with its nearest neighbour."""
-    places = pages.select(F.xxhash64("page_id", "url", "html").alias("rk"), *_site_and_path())
-    return _shared(places.join(parsed(pages, False), "rk"), window)
+    return _shared(materialize(parsed(pages, False)), window)
 
 
 def _shared(rows: DataFrame, window: int) -> DataFrame:
@@ -332,39 +335,43 @@ def _compared(order: DataFrame, window: int) -> DataFrame:
 def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) of every row of ``pages`` (page_id, url, html).
 
-    Pages are parsed once, and every page is compared with its nearest neighbour: ``n_shared`` lines it
-    shares with it. Those are deleted but for the lines of a marked article, which stay.
+    Every page is compared with its nearest neighbour: ``n_shared`` lines it shares with it. Those are
+    deleted but for the lines of a marked article, which stay. Pages are parsed once for the hashes of
+    their lines and once for the lines themselves, which are written nowhere and travel packed.
     """
-    rows = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("rk"), "html", *_site_and_path())
+    rows = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("rk"), "html")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    flags = pa.list_(pa.bool_())
 
     def read(batches):
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("text", "lines", "own", "hashes", "cut", "main")}
+            packed, places = [], []
             for html in batch.column("html"):
                 found = page_lines(html.as_py() or "")
                 marked = any(main for _, _, main in found)
                 own = [i for i, (_, cut, main) in enumerate(found) if not cut and (main or not marked)]
-                kept = [found[i][0] for i in own]
-                out["text"].append(" ".join(kept) if marked else None)
-                out["lines"].append(None if marked else kept)
-                out["own"].append(None if marked else own)
-                out["hashes"].append([line_hash(line) for line, _, _ in found])
-                out["cut"].append([cut for _, cut, _ in found])
-                out["main"].append([main for _, _, main in found])
-            types = {"text": pa.string(), "lines": pa.list_(pa.string()), "own": pa.list_(pa.int32()), "hashes": pa.list_(pa.int64()), "cut": flags, "main": flags}
-            kept = ["page_id", "url", "rk", "site", "path"]
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *(pa.array(out[c], t) for c, t in types.items())], [*kept, *types])
-
-    first = materialize(rows.mapInArrow(
-        read,
-        f"page_id {kinds['page_id']}, url {kinds['url']}, rk long, site string, path string, text string, lines array<string>, own array<int>, "
-        "hashes array<long>, cut array<boolean>, main array<boolean>",
-    ))
-    shared = _shared(first.select("rk", "site", "path", "hashes", "cut", "main"), window).withColumnRenamed("rk", "r")
-    judged = first.select("page_id", "url", "rk", "text", "lines", "own").join(shared, F.expr("rk = r"), "left")
-    stays = lambda line, i: ~F.coalesce(F.array_contains("shared", F.element_at("own", i + 1)), F.lit(False))
-    text = F.coalesce("text", F.array_join(F.filter("lines", stays), " "))
-    n_shared = F.coalesce(F.size("shared"), F.lit(0)).cast("long").alias("n_shared")
-    return judged.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), n_shared)
+                packed.append(zlib.compress(json.dumps([found[i][0] for i in own], ensure_ascii=False).encode(), 6))
+                places.append(None if marked else own)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["page_id", "url", "rk"]).columns, pa.array(packed, pa.binary()), pa.array(places, pa.list_(pa.int32()))],
+                ["page_id", "url", "rk", "packed", "own"],
+            )
+
+    def finish(batches):
+        for batch in batches:
+            text = []
+            for packed, own, shared in zip(batch.column("packed"), batch.column("own").to_pylist(), batch.column("shared").to_pylist()):
+                lines = json.loads(zlib.decompress(packed.as_py()))
+                gone = set(shared or ()) if own is not None else ()
+                text.append(" ".join([line for line, k in zip(lines, own) if k not in gone] if gone else lines))
+            shared = batch.column("shared")
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["page_id", "url"]).columns, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()),
+                 pa.array([0 if s is None else len(s) for s in shared.to_pylist()], pa.int64())],
+                ["page_id", "url", "text", "n_chars", "n_shared"],
+            )
+
+    shared = materialize(shared_lines(pages, window).withColumnRenamed("rk", "r"))
+    lines = rows.mapInArrow(read, f"page_id {kinds['page_id']}, url {kinds['url']}, rk long, packed binary, own array<int>")
+    return lines.join(shared, F.expr("rk = r"), "left").select("page_id", "url", "packed", "own", "shared").mapInArrow(
+        finish, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_shared long"
+    )

@@ -454,3 +454,18 @@ def test_marked_pages_are_compared_too(spark):
     rows = [(i, f"http://h.example/a/{i}", page.format(i)) for i in range(4)]
     got = {r.page_id: r for r in page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i].text == f"text {i} shared note" and got[i].n_shared == 2 for i in range(4))
+
+
+def test_page_texts_are_not_stored(spark, monkeypatch):
+    """No written table holds the texts; the result keeps odd characters, copies, null and unmarked pages."""
+    written = []
+    keep = page_diff.materialize
+    monkeypatch.setattr(page_diff, "materialize", lambda df, *a: written.append(df.schema) or keep(df, *a))
+    page = "<body><p>menu line</p><article><p>a\U0001f600 &lt;&quot;{}&#9;x</p></article></body>"
+    rows = [(i, f"http://h.example/a/{i}", page.format(i)) for i in range(4)] + [(3, "http://h.example/a/3", page.format(3))]
+    rows += [(10 + i, f"http://u.example/b/{i}", f"<body><p>every page says</p><p>only {i}</p></body>") for i in range(3)] + [(20, None, None)]
+    got = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    expected = [(i, f'a\U0001f600 <"{i} x') for i in (0, 1, 2, 3, 3)] + [(10 + i, f"only {i}") for i in range(3)] + [(20, "")]
+    assert sorted((r.page_id, r.text) for r in got) == expected
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert written and not any({"text", "lines", "html", "packed"} & set(schema.names) for schema in written)
