@@ -154,3 +154,22 @@ def test_numbering_a_file_moves_no_facts(spark):
     assert len(shuffled) <= 1
     places = edges.selectExpr("ord % 134217728 as place", "ord div 134217728 as n").groupBy("n").agg({"place": "max"}).collect()
     assert sorted(r[1] for r in places) == [10] * 38 + [20] * 2
+
+
+def test_edges_are_written_when_they_are_read(spark, monkeypatch):
+    """What reads entities and imports only neither numbers nor writes the edges."""
+    from graphloom import graph as graph_module
+    from graphloom.operators import extract, resolve
+
+    files = {"a/x.py": "import os\nfrom a.y import Y as Z\nclass X(Z):\n    pass\n", "a/y.py": "class Y:\n    def m(self):\n        return Y()\n"}
+    facts = extract.stored_facts(spark.createDataFrame(list(files.items()), "path string, content string"))
+    written = []
+    keep = graph_module.materialize
+    monkeypatch.setattr(graph_module, "materialize", lambda df, *a: written.append(df.columns) or keep(df, *a))
+    graph = extract.numbered_graph(facts, extract.file_numbers(facts))
+    edges, externals = resolve.import_edges(graph, resolve.resolved_imports(graph))
+    assert externals.count() == 0 and [r.target_id for r in edges.collect()] == ["a/y.py::Y"]
+    assert not any("source_id" in columns for columns in written)
+    last = max(frame.agg({"ord": "max"}).first()[0] for frame in (graph.entities, graph.relationships))
+    assert resolve.Symbols(graph).span > last and len([c for c in written if "source_id" in c]) == 1
+    assert graph.relationships is graph.relationships and graph.materialized() is graph
