@@ -173,3 +173,31 @@ def test_edges_are_written_when_they_are_read(spark, monkeypatch):
     last = max(frame.agg({"ord": "max"}).first()[0] for frame in (graph.entities, graph.relationships))
     assert resolve.Symbols(graph).span > last and len([c for c in written if "source_id" in c]) == 1
     assert graph.relationships is graph.relationships and graph.materialized() is graph
+
+
+def test_near_edges_and_bases_without_writing_all_edges(spark):
+    """A walk over few hops and the bases of classes read the facts of their files, with the rows of the whole graph."""
+    from graphloom.operators import context, extract
+    from graphloom.operators.traverse import traverse
+
+    files = {
+        "a.py": "class A:\n    def f(self):\n        return g()\n",
+        "b.py": "class B(A, C):\n    x = 1\n\ndef h():\n    y = B()\n    return k(y)\n",
+        "odd::c.py": "def inner():\n    return h()\n",  # a prefix of its ids lies outside of the file
+    }
+    sources = spark.createDataFrame(list(files.items()), "path string, content string")
+    facts = extract.stored_facts(sources)
+    whole, lazy = (extract.numbered_graph(facts, extract.file_numbers(facts)) for _ in range(2))
+    bases = whole.relationships.filter("type = 'INHERITS'")  # writes all edges of this one
+    shown = ["source_id", "target_id", "line_number"]
+    for start in (["b.py"], ["b.py::h", "a.py"], ["odd"], ["odd::c.py::inner"]):
+        near, expected = (
+            {repr(r) for r in traverse(graph, start, 2).select("id", "hops", "path", "key").collect()} for graph in (lazy, whole)
+        )
+        assert near == expected and len(near) > len(start)
+    assert lazy.inherits.orderBy("ord").select(*shown).collect() == bases.orderBy("ord").select(*shown).collect() != []
+    code = context.extract_context(lazy, sources.withColumnRenamed("content", "source"), "b.py::h", 1)
+    assert {(r.id, r.code) for r in code.collect()} == {
+        ("b.py::h", "def h():\n    y = B()\n    return k(y)"), ("b.py::h::y", "    y = B()\n    return k(y)"),
+    }
+    assert whole.written and not lazy.written
