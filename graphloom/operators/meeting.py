@@ -96,7 +96,8 @@ def shortest_path(graph, source_id: str, target_id: str) -> DataFrame:
         return graph.entities.filter(F.col("id") == source_id).select(
             F.lit(0).alias("step"), "id", F.lit(None).cast("string").alias("relationship_type")
         )
-    edges = materialize(adjacency(connected_edges(graph.materialized()), "both"))
+    # Written once, with the columns that are read; the other direction is made where they are read.
+    edges = adjacency(materialize(connected_edges(graph).select("source_id", "target_id", "type", "ord")), "both")
     found = meet(edges, source_id, target_id)
     if found.distance is None:
         return graph.spark.createDataFrame([], STEP_SCHEMA)
@@ -105,11 +106,12 @@ def shortest_path(graph, source_id: str, target_id: str) -> DataFrame:
 
 def shortest_path_length(graph, source_id: str, target_id: str) -> DataFrame:
     """Number of hops between two entities, ignoring edge directions; no row if unconnected."""
-    graph = graph.materialized()
     known = graph.entities.filter(F.col("id") == target_id).select("id").distinct()
     if source_id == target_id:
         return known.select("id", F.lit(0).alias("hops"))
-    found = meet(materialize(adjacency(connected_edges(graph), "both").select("src", "dst")), source_id, target_id)
+    pairs = materialize(connected_edges(graph).select("source_id", "target_id"))
+    both = pairs.selectExpr("source_id as src", "target_id as dst").unionByName(pairs.selectExpr("target_id as src", "source_id as dst"))
+    found = meet(both, source_id, target_id)
     return known.select("id", F.lit(found.distance).cast("int").alias("hops")).filter("hops is not null")
 
 

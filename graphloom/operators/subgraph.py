@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom.graph import Graph
 from graphloom.operators.search import first_rows
 from graphloom.schema import VIEWER_ENTITY_TYPES, VIEWER_RELATIONSHIP_TYPES
-from graphloom.session import materialize
 
 
 def induced_edges(edges: DataFrame, node_ids: DataFrame, source: str = "source_id", target: str = "target_id") -> DataFrame:
@@ -80,16 +79,10 @@ def dim_flags(graph: Graph, shown_types: list[str]) -> tuple[DataFrame, DataFram
 
 def focus(graph: Graph, node_id: str, depth: int = 1, direction: str = "both") -> Graph:
     """The part of the graph within ``depth`` hops; edges to unknown ids play no role."""
-    graph = graph.materialized()
-    return _focus(graph, materialize(connected_or_loop_edges(graph)), node_id, depth, direction)
+    from graphloom.operators.traverse import known_within_hops
 
-
-def _focus(graph: Graph, edges: DataFrame, node_id: str, depth: int, direction: str) -> Graph:
-    """``focus`` over written tables; ``edges`` are those between known entities."""
-    from graphloom.operators.traverse import within_hops
-
-    reached = within_hops(edges, graph.spark, [node_id], depth, direction).select("id")
-    return Graph(graph.entities.join(reached, "id", "left_semi"), induced_edges(edges, reached))
+    reached = known_within_hops(graph, node_id, depth, direction).select("id")
+    return Graph(graph.entities.join(reached, "id", "left_semi"), induced_edges(graph.relationships, reached))
 
 
 def connected_or_loop_edges(graph: Graph) -> DataFrame:
@@ -98,9 +91,8 @@ def connected_or_loop_edges(graph: Graph) -> DataFrame:
 
 def focus_stats(graph: Graph, node_id: str, depth: int = 1, direction: str = "both") -> DataFrame:
     """Totals against the visible part, and the focused node's distinct neighbours."""
-    graph = graph.materialized()  # every count below reads the graph again
-    edges = materialize(connected_or_loop_edges(graph))
-    part = _focus(graph, edges, node_id, depth, direction)
+    edges = connected_or_loop_edges(graph).select("source_id", "target_id")
+    part = focus(graph, node_id, depth, direction)
 
     def count(df):
         return df.agg(F.count(F.lit(1))).scalar()

@@ -151,3 +151,21 @@ def test_long_chain_needs_few_rounds(spark):
     nodes = spark.range(n + 1).selectExpr("concat('n', lpad(id, 4, '0')) as id")
     labels = traverse.connected_components(nodes, edges, max_rounds=14)
     assert pairs(labels, "component") == {("n0000",)}
+
+
+def test_focus_and_paths_do_not_write_the_whole_graph(spark, monkeypatch):
+    from graphloom.graph import Graph
+    from graphloom.operators import meeting, subgraph
+
+    edges = [("a", "b", "CALLS", 1), ("b", "ghost", "CALLS", 1), ("ghost", "c", "CALLS", 1), ("c", "b", "USES", 2), ("c", "d", "CALLS", 1), ("a", "a", "CALLS", 3), ("a", "b", "CALLS", 1)]
+    graph = make_graph(spark, [(n, n, "CLASS", "f.py", 1, None) for n in "abcd"], edges)
+    monkeypatch.setattr(Graph, "materialized", lambda self: pytest.fail("the graph is written with all columns"))
+    for direction, depth, ids in (("both", 1, "ab"), ("both", 2, "abc"), ("outgoing", 3, "ab"), ("incoming", 2, "a")):
+        part = subgraph.focus(graph, "a", depth, direction)
+        assert sorted(r.id for r in part.entities.collect()) == list(ids)
+        kept = sorted((s, t, k, n) for s, t, k, n in edges if {s, t} <= set(ids))
+        assert sorted(tuple(r) for r in part.relationships.select("source_id", "target_id", "type", "line_number").collect()) == kept
+    assert subgraph.focus(graph, "ghost", 2).entities.isEmpty() and subgraph.focus(graph, "ghost", 2).relationships.isEmpty()
+    assert tuple(subgraph.focus_stats(graph, "a", 2).first()) == (4, 5, 3, 4, 1, 2)
+    assert [r.id for r in meeting.shortest_path(graph, "a", "d").orderBy("step").collect()] == ["a", "b", "c", "d"]
+    assert meeting.shortest_path_length(graph, "a", "d").first().hops == 3
