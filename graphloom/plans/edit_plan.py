@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphloom.functions.names import last_segment
-from graphloom.plans.diff import action_rank
+from graphloom.plans.diff import ChangeSet, action_rank
 from graphloom.session import materialize, union_all
 
 # Placeholder path, voting edge types, neighbours shown per file, snippet lines.
@@ -28,18 +28,31 @@ FILE_ACTIONS = ("create", "modify", "delete")
 class EditPlan:
     """Frames of a plan.
 
-    ``known`` holds the existing entities (None: no existing graph given), ``files`` the paths
-    that exist (column ``path``), ``sources`` file texts (path, source) for snippets.
+    ``change_set`` has frames entities, relationships and neighbors, each asked for only by the parts
+    that read it. ``known`` holds the existing entities (None: no existing graph given), ``files`` the
+    paths that exist (column ``path``), ``sources`` file texts (path, source) for snippets.
     """
 
-    changes: DataFrame
-    relationship_changes: DataFrame
-    neighbors: DataFrame
+    change_set: object
     known: DataFrame | None = None
     files: DataFrame | None = None
     sources: DataFrame | None = None
     max_snippets: int = MAX_SNIPPETS
 
+    @property
+    def changes(self) -> DataFrame:
+        return self.change_set.entities
+
+    @property
+    def neighbors(self) -> DataFrame:
+        return self.change_set.neighbors
+
+    def _changed_edges(self, ids: DataFrame, types: tuple[str, ...]) -> DataFrame:
+        """Changed edges of ``types``, at least those that touch ``ids``."""
+        if isinstance(self.change_set, ChangeSet):
+            return self.change_set.relationships_near(ids, types)
+        return self.change_set.relationships.filter(F.col("relationship_type").isin(*types))
+
     # -- target files ---------------------------------------------------------------------------
 
     @cached_property
@@ -55,8 +68,10 @@ class EditPlan:
         blank = self.changes.filter("action = 'added' and file_path = ''").select("entity_id")
         if self.known is None:
             return blank.withColumn("inferred", F.lit(None).cast("string"))
+        blank = materialize(blank)
         position = F.struct(action_rank(), "source_id", "target_id", "relationship_type").alias("at")
-        edges = self.relationship_changes.select("source_id", "target_id", "relationship_type", position)
+        edges = self._changed_edges(blank, ("CONTAINS", *VOTING_TYPES))
+        edges = materialize(edges.select("source_id", "target_id", "relationship_type", position))
         known = self.known.select(F.col("id").alias("other_id"), "file_path")
 
         def at_end(end: str, other: str, types) -> DataFrame:
@@ -210,4 +225,4 @@ def edit_plan(
     changes, known: DataFrame | None = None, files: DataFrame | None = None, sources: DataFrame | None = None, max_snippets: int = MAX_SNIPPETS
 ) -> EditPlan:
     """Plan for a ``ChangeSet`` (or anything with entities, relationships and neighbors frames)."""
-    return EditPlan(changes.entities, changes.relationships, changes.neighbors, known, files, sources, max_snippets)
+    return EditPlan(changes, known, files, sources, max_snippets)

@@ -240,3 +240,25 @@ def test_command_line(tree, tmp_path, capsys):
     assert main(["diff", old, str(tmp_path / "broken.json")]) == 1
     assert main(["build", str(tmp_path / "nothing")]) == 1
     assert main(["plan", spec, "--codebase", str(tmp_path / "nothing")]) == 1
+
+
+def test_paths_are_inferred_without_comparing_all_edges(spark):
+    from graph_helpers import make_graph
+    from graphloom.plans.diff import diff_graphs
+    from graphloom.plans.edit_plan import edit_plan
+
+    entities = [("k", "k", "CLASS", "a.py", 1, 9), ("t", "t", "FUNCTION", "b.py", 1, 9), ("u", "u", "FUNCTION", "b.py", 1, 9)]
+    added = [("x", "x", "FUNCTION", "", 1, None), ("y", "y", "FUNCTION", "", 1, None), ("z", "z", "FUNCTION", "", 1, None)]
+    old = make_graph(spark, entities, [("k", "t", "CALLS", 1), ("t", "x", "CONTAINS", 1)])
+    # The containment of x is in both versions, so it is no change and gives no path.
+    new = make_graph(spark, entities + added, [
+        ("t", "x", "CONTAINS", 1), ("x", "k", "CALLS", 1), ("x", "t", "CALLS", 1), ("x", "u", "CALLS", 1), ("k", "y", "CONTAINS", 1), ("z", "t", "INSTANTIATES", 1)])
+    changes = diff_graphs(old, new)
+    plan = edit_plan(changes, old.entities)
+    assert {(r.entity_id, r.inferred) for r in plan.inferred_paths.collect()} == {("x", "b.py"), ("y", "a.py"), ("z", None)}
+    assert {r.file_path for r in plan.file_edits.collect()} == {"a.py", "b.py", "(unknown)"}
+    assert not {"relationships", "neighbors"} & set(vars(changes))
+    # The whole comparison, once made, gives the same paths.
+    changes.relationships
+    again = edit_plan(changes, old.entities).inferred_paths
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in plan.inferred_paths.collect()}
