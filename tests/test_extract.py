@@ -201,3 +201,17 @@ def test_near_edges_and_bases_without_writing_all_edges(spark):
         ("b.py::h", "def h():\n    y = B()\n    return k(y)"), ("b.py::h::y", "    y = B()\n    return k(y)"),
     }
     assert whole.written and not lazy.written
+
+
+def test_lines_are_looked_up_without_calls_and_texts(spark):
+    from graphloom.operators import intervals
+    from graphloom.operators.extract import build_graph, stored_spans
+
+    code = [("a.py", "def f():\n    g(1)\n    x = 2\n\nf = 3\nclass A:\n    def f(self):\n        return f\n"), ("b.py", "def (\n"), ("c.py", "def f():\n    pass\n")]
+    sources = spark.createDataFrame(code, "path string, content string")
+    spans, columns = stored_spans(sources), ("id", "file_path", "type", "line_number", "end_line")
+    assert pairs(spans, *columns) == pairs(build_graph(sources, resolve=False).entities, *columns)
+    assert "properties" not in spans.columns
+    asked = spark.createDataFrame([(f, i) for f in ("a.py", "b.py", "c.py") for i in range(10)], "file_path string, line int")
+    assert pairs(intervals.definition_at(asked, spans), "file_path", "line", "id") == {
+        ("a.py", 6, "a.py::A"), ("a.py", 7, "a.py::A::f"), ("a.py", 8, "a.py::A::f"), ("c.py", 1, "c.py::f"), ("c.py", 2, "c.py::f")}
