@@ -125,6 +125,18 @@ def test_reach_of_all_within_its_error(spark):
     assert abs(got["top"] - 6100) <= 4 * reach.standard_error() * 6100
     assert got["m3"] == 60 and got["x5"] == 0
     assert reach.reach_of_all(make_graph(spark, [], []), 2).count() == 0
+    assert {r.reach for r in reach.reach_of_all(graph, 0).collect()} == {0}
+
+
+def test_reach_moves_numbers_behind_the_first_hop(spark, monkeypatch):
+    written = []
+    keep = reach.materialize
+    monkeypatch.setattr(reach, "materialize", lambda df, by=None: written.append(df.dtypes) or keep(df, by))
+    _, graph = random_graph(spark, 12, nodes=20, edges=40)
+    assert reach.reach_of_all(graph, 3).count() == 21
+    # Only the table of nodes holds ids.
+    assert [columns for columns in written if ("id", "string") in columns] == written[:1]
+    assert all(kind != "string" for columns in written[1:] for _, kind in columns)
 
 
 @pytest.mark.parametrize("seed,edges", [(3, 18), (4, 45)])
