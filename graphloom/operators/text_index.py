@@ -1,26 +1,32 @@
 """Substring search through a stored trigram index.
 
 Every position of a lower-case field value starts one gram of three characters (the value's end is
-padded, so shorter texts have grams too). Three tables are written once: ``postings`` (field, gram,
-ord) in the order of field and gram, so that a lookup reads only the row groups of its grams;
-``grams`` with the number of rows of each; ``rows``, the entities dealt into ``parts`` folders. A
-search intersects the postings of the rarest grams of its text, opens only the folders that hold
-candidates and tests the real field values, so its answer is that of the scan.
+padded, so shorter texts have grams too). Three tables are written once: ``rows``, the entities in the
+order of their positions, dealt into ``parts`` folders and there into blocks; ``postings`` (field, gram,
+block) in the order of field and gram, so that a lookup reads only the row groups of its grams; ``grams``
+with the number of blocks of each. A gram is posted once a block, however many rows of it hold it, and
+is merged before the shuffle, so an index moves far fewer postings than there are characters. A search
+intersects the postings of the rarest grams of its text, opens only the folders that hold candidates and
+tests the real field values in the blocks found, so its answer is that of the scan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from graphloom.operators.search import DESCRIPTION_PATH, first_rows
-from graphloom.schema import ENTITY_COLUMNS
+from graphloom.schema import ENTITY_COLUMNS, ENTITY_SCHEMA
 
 GRAM = 3
 #: Postings that are intersected; rarer grams leave fewer candidates, and verification decides.
 INTERSECTED = 3
 PARTS = 64
+#: A block is 2**``BLOCK_BITS`` rows of a folder, and a folder's blocks share the bits from ``PART_BITS`` on.
+BLOCK_BITS = 12
+PART_BITS = 33 - BLOCK_BITS
+ROW_SCHEMA = T.StructType([*ENTITY_SCHEMA, T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType())])
 PAD = "\0" * (GRAM - 1)
 
 
@@ -34,8 +40,8 @@ def grams_of(text: str) -> list[str]:
     return list(dict.fromkeys(text[i : i + GRAM] for i in range(len(text) - GRAM + 1)))
 
 
-def part_of(ord_: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(ord_), F.lit(parts)).cast("int")
+def part_of(block: Column) -> Column:
+    return F.shiftright(block, PART_BITS).cast("int")
 
 
 @dataclass(frozen=True)
@@ -48,20 +54,21 @@ class TextIndex:
 
     @classmethod
     def build(cls, entities: DataFrame, folder: str, fields: tuple[str, ...] = ("name",), parts: int = PARTS) -> "TextIndex":
-        """Write the index of ``fields``. A gram that most values hold is dealt on by position, so it
-        fills several files instead of one task."""
+        """Write the index of ``fields``."""
         spark = entities.sparkSession
         index = cls(spark, folder, parts)
-        rows = entities.select(*ENTITY_COLUMNS, part_of(F.col("ord"), parts).alias("part"))
-        rows.repartition("part").sortWithinPartitions("part", "ord").write.partitionBy("part").parquet(f"{folder}/rows")
+        rows = entities.select(*ENTITY_COLUMNS).repartitionByRange(parts, "ord", "id").sortWithinPartitions("ord", "id")
+        # A row's number holds its partition and its place there.
+        rows = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+        rows.withColumn("part", part_of(F.col("block"))).write.partitionBy("part").parquet(f"{folder}/rows")
         values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), field_value(f).alias("value")) for f in fields])).alias("v")
         padded = F.concat("v.value", F.lit(PAD))
         starts = F.sequence(F.lit(1), F.length("v.value"))
-        grams = F.array_distinct(F.transform(starts, lambda i: F.substring(padded, i, F.lit(GRAM))))
+        grams = F.transform(starts, lambda i: F.substring(padded, i, F.lit(GRAM)))
         spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         postings = (
-            entities.select("ord", values).filter("v.value <> ''").select("ord", "v.field", F.explode(grams).alias("gram"))
-            .repartitionByRange(spread, "field", "gram", "ord").sortWithinPartitions("field", "gram", "ord")
+            index.rows.select("block", values).filter("v.value <> ''").select("block", "v.field", F.explode(grams).alias("gram"))
+            .distinct().repartitionByRange(spread, "field", "gram", "block").sortWithinPartitions("field", "gram", "block")
         )
         postings.write.parquet(f"{folder}/postings")
         index.postings.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(
@@ -70,11 +77,11 @@ class TextIndex:
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("ord bigint, field string, gram string").parquet(f"{self.folder}/postings")
+        return self.spark.read.schema("block bigint, field string, gram string").parquet(f"{self.folder}/postings")
 
     @property
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/rows")
+        return self.spark.read.schema(ROW_SCHEMA).parquet(f"{self.folder}/rows")
 
     def rarest(self, field: str, text: str) -> list[str] | None:
         """The rarest grams of ``text``, rarest first; None if one does not occur at all."""
@@ -88,16 +95,16 @@ class TextIndex:
         return sorted(wanted, key=lambda g: (found[g], g))[:INTERSECTED]
 
     def candidates(self, field: str, text: str) -> DataFrame:
-        """``ord`` of the entities whose ``field`` may contain the lower-case ``text``."""
+        """Blocks with entities whose ``field`` may contain the lower-case ``text``."""
         postings = self.postings.filter(F.col("field") == field)
         if len(text) < GRAM:
-            return postings.filter(F.col("gram").startswith(text)).select("ord").distinct()
+            return postings.filter(F.col("gram").startswith(text)).select("block").distinct()
         rarest = self.rarest(field, text)
         if rarest is None:
-            return postings.limit(0).select("ord")
-        found = postings.filter(F.col("gram") == rarest[0]).select("ord")
+            return postings.limit(0).select("block")
+        found = postings.filter(F.col("gram") == rarest[0]).select("block")
         for gram in rarest[1:]:
-            found = found.join(postings.filter(F.col("gram") == gram).select("ord"), "ord", "left_semi")
+            found = found.join(postings.filter(F.col("gram") == gram).select("block"), "block", "left_semi")
         return found
 
     def search(
@@ -114,11 +121,11 @@ class TextIndex:
                 found = found.unionByName(self.candidates(field, text))
             found = found.distinct()
             # At most ``parts`` numbers: the folders that hold a candidate.
-            parts = [r.part for r in found.select(part_of(F.col("ord"), self.parts).alias("part")).distinct().collect()]
+            parts = [r.part for r in found.select(part_of(F.col("block")).alias("part")).distinct().collect()]
             hit = F.lit(False)
             for field in fields:
                 hit = hit | F.contains(field_value(field), F.lit(text))
-            rows = self.rows.filter(F.col("part").isin(parts)).join(found, "ord", "left_semi").filter(hit)
+            rows = self.rows.filter(F.col("part").isin(parts)).join(found, "block", "left_semi").filter(hit)
         if entity_type is not None:
             rows = rows.filter(F.col("type") == entity_type)
         if file_path is not None:

@@ -33,6 +33,14 @@ def test_index_reads_few_folders(indexed):
     assert "PartitionFilters" in plan and "PushedFilters" in plan
 
 
+def test_grams_are_posted_once_a_block(spark, tmp_path):
+    entities = make_graph(spark, [(f"f.py::{i}", f"order_{i % 7}", "CLASS", "f.py", i, None) for i in range(500)], []).entities
+    index = TextIndex.build(entities, f"file://{tmp_path}/i", ("name",), parts=2)
+    blocks = index.rows.select("block").distinct().count()
+    assert index.rows.count() == 500 and index.postings.count() <= blocks * 30
+    assert index.search("R_3", max_results=None).count() == 71
+
+
 def test_stabbing_equals_loop(spark):
     rng = random.Random(11)
     spans = [(f"f{rng.randrange(3)}", low := rng.randrange(1, 3000), low + int(rng.expovariate(0.02)), i) for i in range(300)]
