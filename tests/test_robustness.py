@@ -36,6 +36,8 @@ def test_unparsable_files_are_reported(spark):
     facts = syntax_facts(spark.createDataFrame(rows, "path string, content string"))
     reasons = {r.path: r.reason for r in parse_errors(facts).collect()}
     assert set(reasons) == {"bad.py", "none.py"} and reasons["bad.py"].startswith("SyntaxError")
+    asked = syntax_facts(spark.createDataFrame(rows, "path string, content string"), kinds=("error",), columns=("path", "kind", "name"))
+    assert asked.count() == 2 and {r.path: r.reason for r in parse_errors(asked).collect()} == reasons
     ids = {i for (i,) in pairs(parsed_entities(facts), "id")}
     assert {"ok.py::x", "deep.py::f"} <= ids and not any("bad" in i for i in ids)
 
@@ -124,3 +126,17 @@ def test_ids_and_relative_paths(spark):
     rows = spark.createDataFrame([("src/a.py", ["A", "b"]), ("lib/x.py", []), ("src", [])], "path string, scopes array<string>")
     got = rows.select(entity_id(F.col("path"), F.col("scopes")), relative_path(F.col("path"), "src/")).collect()
     assert [tuple(r) for r in got] == [("src/a.py::A::b", "a.py"), ("lib/x.py", "lib/x.py"), ("src", "src")]
+
+
+def test_digest_is_that_of_its_sums(spark):
+    import hashlib
+
+    from graphloom.sources.snapshot import digest
+
+    texts = [f"t{i}" for i in range(1000)]
+    hashes = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    words = [sum(int(h[8 * i : 8 * i + 8], 16) for h in hashes) for i in range(8)]
+    rows = digest(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    assert rows.first()[0] == hashlib.sha256(",".join(map(str, words)).encode()).hexdigest()
+    # One row a task is summed exactly, not every row.
+    assert "SPARK_PARTITION_ID" in rows._jdf.queryExecution().toString()
