@@ -5,7 +5,7 @@ import pytest
 from graph_helpers import make_graph, pairs
 from graphloom.operators import edit
 from graphloom.plans.diff import diff_graphs, fingerprint, has_changes
-from graphloom.plans.render import change_spec, change_spec_dict, read_change_spec, write_change_spec
+from graphloom.plans.render import change_spec, change_spec_dict, read_change_lines, read_change_spec, write_change_lines, write_change_spec
 from graphloom.plans.round_trip import run_round_trip
 from graphloom.sources.files import decoded, python_files, read_files
 from graphloom.sources.graph_json import read_graph, read_graph_json, read_graph_lines, write_graph, write_graph_json, write_graph_lines
@@ -43,6 +43,22 @@ NEW = document(
 )
 
 
+def test_change_document_as_lines(spark, load, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def alone(*_):
+        raise AssertionError("passed through the driver")
+
+    changes = diff_graphs(load(OLD, "old.json"), load(NEW, "new.json"))
+    spec = change_spec_dict(change_spec(changes))
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrame, "toLocalIterator", alone)
+        write_change_lines(change_spec(changes), f"file://{tmp_path}/spec")
+        lines = read_change_lines(spark, f"file://{tmp_path}/spec")
+    assert [r.position for r in lines.entities.orderBy("position").collect()] == [0, 1, 2, 3]
+    assert {k: v for k, v in change_spec_dict(lines).items() if k != "timestamp"} == {k: v for k, v in spec.items() if k != "timestamp"}
+
+
 def test_diff_and_change_document(spark, load, tmp_path):
     changes = diff_graphs(load(OLD, "old.json"), load(NEW, "new.json"))
     spec = change_spec_dict(change_spec(changes))
@@ -112,6 +128,7 @@ def test_json_and_folder_round_trips(spark, load, small_graph, tmp_path):
     write_graph(small_graph, str(tmp_path / "pq"))
     assert not has_changes(diff_graphs(read_graph(spark, str(tmp_path / "pq")), back))
     write_graph_lines(small_graph, str(tmp_path / "lines"))
+    assert not list((tmp_path / "lines").glob("*/*.txt")) and list((tmp_path / "lines").glob("relationships/*.gz"))
     lines = read_graph_lines(spark, str(tmp_path / "lines"))
     assert not has_changes(diff_graphs(small_graph, lines))
     assert [r.id for r in lines.entities.orderBy("ord").collect()] == [r.id for r in small_graph.entities.orderBy("ord").collect()]
@@ -262,3 +279,20 @@ def test_paths_are_inferred_without_comparing_all_edges(spark):
     changes.relationships
     again = edit_plan(changes, old.entities).inferred_paths
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in plan.inferred_paths.collect()}
+
+
+def test_edge_status_moves_keys_only(spark, load):
+    from graphloom.plans.diff import classify, overlay_edges
+
+    changes = diff_graphs(load(OLD, "old.json"), load(NEW, "new.json"))
+    edges = classify(changes)[1]
+    assert sorted(map(tuple, edges.collect())) == [
+        ("f.py::a::f.py::b::CALLS", "removed"), ("f.py::a::f.py::d::CALLS", "added"), ("f.py::c::f.py::b::CALLS", "removed"), ("f.py::d::f.py::c::CALLS", "added")]
+    assert not {"entities", "relationships"} & set(vars(changes))  # nothing was written for it
+    assert sorted(map(tuple, overlay_edges(changes).collect()), key=str) == [
+        ("f.py::a", "f.py::a", "CALLS", None), ("f.py::a", "f.py::b", "CALLS", "removed"), ("f.py::a", "f.py::d", "CALLS", "added"),
+        ("f.py::c", "f.py::b", "CALLS", "removed"), ("f.py::d", "f.py::c", "CALLS", "added")]
+    assert not {"entities", "relationships"} & set(vars(changes))
+    many = make_graph(spark, [], [("a", "b", "CALLS", 1)] * 3 + [("a", None, "CALLS", 1)] * 2)
+    shown = overlay_edges(diff_graphs(make_graph(spark, [], [("a", "c", "CALLS", 1)]), many))
+    assert sorted(map(tuple, shown.collect()), key=str) == [("a", "b", "CALLS", "added")] * 3 + [("a", None, "CALLS", None)] * 2
