@@ -69,6 +69,8 @@ class EditPlan:
         if self.known is None:
             return blank.withColumn("inferred", F.lit(None).cast("string"))
         blank = materialize(blank)
+        if blank.isEmpty():  # no edge need be read
+            return blank.withColumn("inferred", F.lit(None).cast("string"))
         position = F.struct(action_rank(), "source_id", "target_id", "relationship_type").alias("at")
         edges = self._changed_edges(blank, ("CONTAINS", *VOTING_TYPES))
         edges = materialize(edges.select("source_id", "target_id", "relationship_type", position))
