@@ -16,9 +16,18 @@ def induced_edges(edges: DataFrame, node_ids: DataFrame, source: str = "source_i
     )
 
 
-def connected_edges(graph: Graph) -> DataFrame:
-    """Edges between known entities, without self-loops."""
-    return induced_edges(graph.relationships.filter("source_id <> target_id"), graph.entities.select("id"))
+def connected_edges(graph: Graph, numbers: DataFrame | None = None) -> DataFrame:
+    """Edges between known entities, without self-loops.
+
+    With ``numbers`` (id, number; one row per entity) the ends are looked up there, and the edges also
+    have source_number and target_number.
+    """
+    edges = graph.relationships.filter("source_id <> target_id")
+    if numbers is None:
+        return induced_edges(edges, graph.entities.select("id"))
+    for end in ("source", "target"):
+        edges = edges.join(numbers.select(F.col("id").alias(f"{end}_id"), F.col("number").alias(f"{end}_number")), f"{end}_id")
+    return edges
 
 
 def _viewer_type(column: str, known, fallback: str):

@@ -195,8 +195,9 @@ COMPONENT_EDGES = "type = 'CALLS'"
     where cc.label < o.label group by e2.c)
 select id, label as component from cc"""))
 def connected_components(spark, sf):
-    graph = table_graph(spark, sf)  # read once; the operator writes the ends of its edges only
-    return traverse.connected_components(graph.entities, subgraph.connected_edges(graph).filter(COMPONENT_EDGES))
+    graph = table_graph(spark, sf)  # read once; the operator writes the numbers of its nodes and edges only
+    nodes = traverse.numbered_nodes(graph.entities)
+    return traverse.connected_components(nodes, subgraph.connected_edges(graph, nodes).filter(COMPONENT_EDGES))
 
 
 @query("connected_components_all", over_graph("""
@@ -211,5 +212,6 @@ def connected_components(spark, sf):
 select label as component, count(*) as size from cc group by label"""))
 def connected_components_all(spark, sf):
     graph = table_graph(spark, sf)
-    labels = traverse.connected_components(graph.entities, subgraph.connected_edges(graph))
+    nodes = traverse.numbered_nodes(graph.entities)
+    labels = traverse.connected_components(nodes, subgraph.connected_edges(graph, nodes))
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
